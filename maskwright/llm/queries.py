@@ -16,7 +16,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.temporal_list_join(url_filter.captures_of(pages), url_filter.demo_log(spark))
+    return url_filter.temporal_list_join(url_filter.captures_of(pages), url_filter.demo_log(spark)).withColumn("fetched", F.col("fetched").cast("string"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _LOG = ", ".join(f"('{a}', '{b}', '{c}', '{d}', date '{e}')" for a, b, c, d, e in url_filter.DEMO_LOG)
-_WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE = {
     "op1_url_filter": rf"""
@@ -76,13 +76,13 @@ hits AS (SELECT c.*, s.entry, s.list FROM caps c JOIN spans s ON s.action = 'add
   AND ((s.kind = 'domain' AND (c.host = s.entry OR ends_with(c.host, '.' || s.entry)))
     OR (s.kind = 'prefix' AND (c.host || c.path = s.entry OR starts_with(c.host || c.path, s.entry || '/'))))),
 agg AS (SELECT page_id, url, fetched, count(*) AS n, string_agg(DISTINCT entry, '|' ORDER BY entry) AS e, string_agg(DISTINCT list, '|' ORDER BY list) AS l FROM hits GROUP BY ALL)
-SELECT c.page_id, c.url, c.host, c.fetched, a.n IS NOT NULL AS blocked, coalesce(a.n, 0) AS n_entries, coalesce(a.e, '') AS entries, coalesce(a.l, '') AS lists
+SELECT c.page_id, c.url, c.host, CAST(c.fetched AS VARCHAR) AS fetched, a.n IS NOT NULL AS blocked, coalesce(a.n, 0) AS n_entries, coalesce(a.e, '') AS entries, coalesce(a.l, '') AS lists
 FROM caps c LEFT JOIN agg a ON c.page_id IS NOT DISTINCT FROM a.page_id AND c.url IS NOT DISTINCT FROM a.url AND c.fetched = a.fetched
 """,
     "op2_ngram_join": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-  ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM w),
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS g FROM w),
 e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
   HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
@@ -92,7 +92,7 @@ SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id FROM s J
 """,
     "op3_quality_rules": rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, {_WORDS.format("text")} AS w, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+w AS (SELECT doc_id, text, {_WORDS.format("text")} AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 8),
 win2 AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM win),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win2) WHERE n > 1),
@@ -116,20 +116,20 @@ s AS (SELECT src, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY src),
 sh AS (SELECT list(tokens / total ORDER BY tokens) AS p FROM (SELECT CAST(tokens AS DOUBLE) AS tokens, CAST(sum(tokens) OVER () AS DOUBLE) AS total FROM s WHERE tokens > 0)),
 ent(k, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
   SELECT k + 1, CASE WHEN ok THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ok THEN hi ELSE (lo + hi) / 2 END FROM (
-    SELECT k, lo, hi, ln(list_sum(list_transform(p, x -> pow(x, (lo + hi) / 2)))) - list_sum(list_transform(p, x -> pow(x, (lo + hi) / 2) * ln(pow(x, (lo + hi) / 2)))) / list_sum(list_transform(p, x -> pow(x, (lo + hi) / 2))) >= 0.95 * ln(len(p)) AS ok
+    SELECT k, lo, hi, ln(list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2)))) - list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2) * ln(pow(x, (lo + hi) / 2)))) / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))) >= 0.95 * ln(len(p)) AS ok
     FROM ent, sh WHERE k < 50)),
 rep(k, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
   SELECT k + 1, CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END, CASE WHEN ok THEN (lo + hi) / 2 ELSE hi END FROM (
     SELECT k, lo, hi, pow(list_min(p) / list_max(p), (lo + hi) / 2 - 1) <= 4 AS ok FROM rep, sh WHERE k < 50)),
-a AS (SELECT greatest(CASE WHEN list_sum(list_transform(p, x -> -x * ln(x))) >= 0.95 * ln(len(p)) THEN 1 ELSE (SELECT lo FROM ent WHERE k = 50) END,
+a AS (SELECT greatest(CASE WHEN list_sum(list_transform(p, lambda x: -x * ln(x))) >= 0.95 * ln(len(p)) THEN 1 ELSE (SELECT lo FROM ent WHERE k = 50) END,
   CASE WHEN pow(list_min(p) / list_max(p), -1) <= 4 THEN 0 ELSE (SELECT hi FROM rep WHERE k = 50) END) AS a, p FROM sh),
 plan AS (SELECT src, tokens, CASE WHEN tokens > 0 THEN pow(tokens / total / list_max(p), a - 1) ELSE 1 END AS epochs,
-  CASE WHEN tokens > 0 THEN pow(tokens / total, a) / list_sum(list_transform(p, x -> pow(x, a))) ELSE 0 END AS weight FROM (SELECT *, CAST(sum(tokens) OVER () AS DOUBLE) AS total FROM s), a),
+  CASE WHEN tokens > 0 THEN pow(tokens / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) ELSE 0 END AS weight FROM (SELECT *, CAST(sum(tokens) OVER () AS DOUBLE) AS total FROM s), a),
 plan2 AS (SELECT *, CAST(floor(tokens * epochs) AS BIGINT) AS budget, greatest(1, CAST(ceil(sum(floor(tokens * epochs)) OVER () / 100000) AS BIGINT)) AS n_blocks FROM plan),
 c AS (SELECT d.*, p.* EXCLUDE (src), unnest(range(CAST(ceil(epochs) AS BIGINT))) AS epoch FROM d JOIN plan2 p USING (src)),
 c2 AS (SELECT *, md5('mix:' || doc_id || ':' || epoch) AS key FROM c),
-c3 AS (SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM c2),
-c4 AS (SELECT *, CASE WHEN budget > 0 THEN least(n_blocks - 1, CAST(floor(CAST(at AS DOUBLE) / budget * n_blocks) AS BIGINT)) ELSE 0 END AS block_no FROM c3 WHERE epoch = 0 OR at < budget)
+c3 AS (SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c2),
+c4 AS (SELECT *, CASE WHEN budget > 0 THEN least(n_blocks - 1, CAST(floor(CAST(pos AS DOUBLE) / budget * n_blocks) AS BIGINT)) ELSE 0 END AS block_no FROM c3 WHERE epoch = 0 OR pos < budget)
 SELECT doc_id, src, epoch, n_tokens, CAST(block_no AS BIGINT) AS block_no, md5(key || block_no) AS order_key, round(weight, 6) AS weight FROM c4
 """,
 }
