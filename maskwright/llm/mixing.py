@@ -51,20 +51,19 @@ def solve_exponent(shares: F.Column, entropy_fraction: float, max_repeat: float,
 def source_plan(rows: DataFrame, entropy_fraction: float, max_repeat: float, block_tokens: int) -> DataFrame:
     """One row per source: src, tokens, docs, exponent, weight, epochs, budget (tokens), n_blocks. ``rows``: src, n_tokens."""
     totals = rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    # one number per source, not per document
+    # one number per source, not per document; what comes back is a single row
     whole = totals.filter("tokens > 0").agg(F.sum("tokens").cast("double").alias("all_tokens"), F.array_sort(F.collect_list("tokens")).alias("each"))
     solved = whole.select("all_tokens", F.transform("each", lambda t: t / F.col("all_tokens")).alias("shares")).withColumn("exponent", solve_exponent(F.col("shares"), entropy_fraction, max_repeat))
-    solved = solved.select("all_tokens", F.array_max("shares").alias("top"), "exponent", F.aggregate(F.transform("shares", lambda p: F.pow(p, F.col("exponent"))), F.lit(0.0), lambda x, y: x + y).alias("norm"), F.lit(1).alias("one"))
-    share = F.col("tokens") / F.col("all_tokens")
-    out = totals.withColumn("one", F.lit(1)).join(F.broadcast(solved), "one", "left").drop("one")
-    out = out.withColumns({"epochs": F.when(F.col("tokens") > 0, F.pow(share / F.col("top"), F.col("exponent") - 1)).otherwise(F.lit(1.0)), "weight": F.when(F.col("tokens") > 0, F.pow(share, F.col("exponent")) / F.col("norm")).otherwise(F.lit(0.0))})
+    top = solved.select("all_tokens", F.array_max("shares").alias("top"), "exponent", F.aggregate(F.transform("shares", lambda p: F.pow(p, F.col("exponent"))), F.lit(0.0), lambda x, y: x + y).alias("norm")).first()
+    share, a = F.col("tokens") / F.lit(top["all_tokens"]), F.lit(top["exponent"])
+    out = totals.withColumns({"exponent": a, "epochs": F.when(F.col("tokens") > 0, F.pow(share / F.lit(top["top"]), a - 1)).otherwise(F.lit(1.0)), "weight": F.when(F.col("tokens") > 0, F.pow(share, a) / F.lit(top["norm"])).otherwise(F.lit(0.0))})
     out = out.withColumn("budget", F.floor(F.col("tokens") * F.col("epochs")).cast("long"))
-    total = out.agg(F.sum("budget").alias("run"), F.lit(1).alias("one"))
-    return out.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("run") / block_tokens)).cast("long")).drop("one", "run", "all_tokens", "top", "norm")
+    run = out.agg(F.coalesce(F.sum("budget"), F.lit(0))).first()[0]
+    return out.withColumn("n_blocks", F.lit(max(1, -(-run // block_tokens))).cast("long"))
 
 
-def schedule(docs: DataFrame, entropy_fraction: float = 0.95, max_repeat: float = 4.0, block_tokens: int = 100_000, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per copy: doc_id, src, epoch, n_tokens, block_no, ``order_key`` (position inside the block), weight, exponent, and ``keep``.
+def schedule(docs: DataFrame, entropy_fraction: float = 0.95, max_repeat: float = 4.0, block_tokens: int = 100_000, seed: str = "mix") -> DataFrame:
+    """One row per copy: doc_id, src, epoch, n_tokens, block_no, ``order_key`` (position inside the block), weight, exponent.
 
     Tokens are words [^\\x20\\x09-\\x0D]+; a null or empty text has none and is read once. A null source is the
     source ''. Every document appears floor(epochs) times at least, once at the least. Equal rows (same
@@ -75,7 +74,7 @@ def schedule(docs: DataFrame, entropy_fraction: float = 0.95, max_repeat: float
     of the key and within each, of which there are as many as the root of the source's rows; so no task
     holds a source.
     """
-    rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("src"), F.size(words_of(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"), *keep)
+    rows = cut(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("src"), F.size(words_of(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens")))
     plan = cut(source_plan(rows, entropy_fraction, max_repeat, block_tokens))
     small = len(plan.limit(10_001).select(F.lit(1)).tail(10_001)) <= 10_000
     placed = rows.join(F.broadcast(plan) if small else plan, "src").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil("epochs").cast("long") - 1)))
@@ -88,11 +87,14 @@ def schedule(docs: DataFrame, entropy_fraction: float = 0.95, max_repeat: float
     at = placed.withColumn("inner", within).join(before, ["src", "epoch", "range"]).withColumn("at", F.col("epoch") * F.col("tokens") + F.col("start") + F.col("inner"))
     taken = at.filter((F.col("epoch") == 0) | (F.col("at") < F.col("budget")))
     block = F.when(F.col("budget") > 0, F.least(F.col("n_blocks") - 1, F.floor(F.col("at").cast("double") / F.col("budget") * F.col("n_blocks")))).otherwise(F.lit(0)).cast("long")
-    return taken.select("doc_id", "src", "epoch", "n_tokens", block.alias("block_no"), F.md5(F.concat("key", block.cast("string")).cast("binary")).alias("order_key"), "weight", "exponent", *keep)
+    return taken.select("doc_id", "src", "epoch", "n_tokens", block.alias("block_no"), F.md5(F.concat("key", block.cast("string")).cast("binary")).alias("order_key"), "weight", "exponent")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the run reads them: every row once for each of its copies, columns unchanged."""
-    other = tuple(c for c in docs.columns if c != "doc_id")
-    renamed = docs.select("doc_id", *[F.col(c).alias(f"_{c}") for c in other], F.col("source"), F.col("text"))
-    return schedule(renamed, keep=tuple(f"_{c}" for c in other), **how).select(*[F.col(c) if c == "doc_id" else F.col(f"_{c}").alias(c) for c in docs.columns])
+    """``docs`` as the run reads them: every row once for each of its copies, columns unchanged.
+
+    The schedule is made of ids and counts alone; texts cross the network once, to meet their number of copies.
+    """
+    copies = schedule(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.count_distinct("epoch").cast("int").alias("_copies"))
+    each = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
