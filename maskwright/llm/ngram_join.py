@@ -9,7 +9,9 @@ is verified only if it shares min(l, l') prefix tokens.
 Only the connected components are asked for, so pairs whose documents are already in one component are not
 verified again: rounds that pair every document with one pivot of its token lists merge most groups, then
 every pair that is still between two components and passes the filters is verified. No link is lost and a
-group of n copies costs about n verifications, not n squared.
+group of n copies costs about n verifications, not n squared. A prefix token that no other document has can't
+be shared, so a document's u such tokens bound its overlap with anyone by n - u; that keeps the loose members
+of a group of near copies from being held against all others, and picks as pivot the member with least u.
 """
 
 from __future__ import annotations
@@ -135,13 +137,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     sets = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
     prefixes = source.mapInArrow(_prefixes(k, num, den, max_level, counts), "doc_id long, n long, l int, tokens array<long>").filter("n > 0")
-    postings = prefixes.join(sets.select(F.col("rep").alias("doc_id"), "n").distinct(), ["doc_id", "n"]).select(F.explode("tokens").alias("tok"), F.col("doc_id").alias("doc"), "n", "l")
+    chosen = cut(prefixes.join(sets.select(F.col("rep").alias("doc_id"), "n").distinct(), ["doc_id", "n"]).distinct())
+    postings = chosen.select(F.posexplode("tokens").alias("at", "tok"), F.col("doc_id").alias("doc"), "n", "l", F.size("tokens").alias("p"))
     lists = postings.groupBy("tok").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("tok")
-    shared = cut(postings.join(lists, "tok"))
+    met = cut(postings.join(lists, "tok"))
+    # at most n - u tokens can be shared, u being the prefix tokens that nobody else has
+    bound = met.groupBy("doc", "n").agg((F.first("n") - F.first("p") + F.count("*")).alias("m")).filter(f"{den} * m >= {num} * n")
+    shared = cut(met.drop("p").join(bound, ["doc", "n"]))
 
     wanted = shared.select(F.col("doc").alias("doc_id")).distinct()
     texts = cut(source.join(wanted, "doc_id").distinct())
-    near = F.expr(f"{num} * greatest(n, pn) <= {den} * least(n, pn)")
+    near = F.expr(f"{num} * greatest(n, pn) <= {den} * least(n, pn) and {num + den} * least(m, pm) >= {num} * (n + pn)")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link; each text of b is read once for all its partners."""
@@ -156,20 +162,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             open_ = shared.withColumn("label", F.col("doc"))
         else:
             named = shared.join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root")
-            mixed = named.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).filter("x < y")
-            open_ = cut(named.join(mixed.select("tok", "m"), "tok"))
-            size = open_.agg(F.count("*"), F.sum("m")).first()
+            mixed = named.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("many")).filter("x < y")
+            open_ = cut(named.join(mixed.select("tok", "many"), "tok"))
+            size = open_.agg(F.count("*"), F.sum("many")).first()
             if not size[0]:
                 break
             if turn == max_rounds or size[1] <= 8 * size[0] or not found:
-                other = open_.select("tok", F.col("doc").alias("b"), F.col("n").alias("pn"), F.col("l").alias("pl"), F.col("label").alias("plabel"))
-                pairs = open_.join(other, "tok").filter("doc < b and label <> plabel").filter(near).groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("c"), F.min(F.least("l", "pl")).alias("least")).filter("c >= least")
+                other = open_.select("tok", F.col("doc").alias("b"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("l").alias("pl"), F.col("at").alias("pat"), F.col("label").alias("plabel"))
+                pairs = open_.join(other, "tok").filter("doc < b and label <> plabel").filter(near).groupBy(F.col("doc").alias("a"), "b", "n", "pn").agg(F.count("*").alias("c"), F.min(F.least("l", "pl")).alias("least"), F.max("at").alias("at"), F.max("pat").alias("pat"))
+                # all common tokens up to the last one seen are counted; after it no more than what is left can be
+                pairs = pairs.filter("c >= least").filter(f"{num + den} * (c + least(n - at, pn - pat) - 1) >= {num} * (n + pn)").select("a", "b").distinct()
                 more = linked(pairs.select("a", "b"))
                 links = links.union(more)
                 labels = components(links)
                 break
-        order = F.col("doc") if turn == 0 else F.xxhash64(F.lit(turn), "doc")
-        pivot = open_.groupBy("tok").agg(F.min(F.struct(order.alias("o"), F.col("doc").alias("b"), F.col("n").alias("pn"), F.col("label").alias("plabel"))).alias("p")).select("tok", "p.b", "p.pn", "p.plabel")
+        order = F.struct((F.col("n") - F.col("m")).alias("u"), (F.col("doc") if turn == 0 else F.xxhash64(F.lit(turn), "doc")).alias("o"))
+        pivot = open_.groupBy("tok").agg(F.min(F.struct(order.alias("o"), F.col("doc").alias("b"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("plabel"))).alias("p")).select("tok", "p.b", "p.pn", "p.pm", "p.plabel")
         pairs = open_.join(pivot, "tok").filter("label <> plabel").filter(near).groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("c"))
         best = pairs.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("o"))).alias("p")).select("a", (-F.col("p.o")).alias("b"))
         more = linked(best)
