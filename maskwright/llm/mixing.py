@@ -53,8 +53,9 @@ def source_plan(rows: DataFrame, entropy_fraction: float, max_repeat: float, blo
     totals = rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     # one number per source, not per document; what comes back is a single row
     whole = totals.filter("tokens > 0").agg(F.sum("tokens").cast("double").alias("all_tokens"), F.array_sort(F.collect_list("tokens")).alias("each"))
-    solved = whole.select("all_tokens", F.transform("each", lambda t: t / F.col("all_tokens")).alias("shares")).withColumn("exponent", solve_exponent(F.col("shares"), entropy_fraction, max_repeat))
+    solved = whole.filter("all_tokens > 0").select("all_tokens", F.transform("each", lambda t: t / F.col("all_tokens")).alias("shares")).withColumn("exponent", solve_exponent(F.col("shares"), entropy_fraction, max_repeat))
     top = solved.select("all_tokens", F.array_max("shares").alias("top"), "exponent", F.aggregate(F.transform("shares", lambda p: F.pow(p, F.col("exponent"))), F.lit(0.0), lambda x, y: x + y).alias("norm")).first()
+    top = top or {"all_tokens": 1.0, "top": 1.0, "exponent": 1.0, "norm": 1.0}  # no source has a token
     share, a = F.col("tokens") / F.lit(top["all_tokens"]), F.lit(top["exponent"])
     out = totals.withColumns({"exponent": a, "epochs": F.when(F.col("tokens") > 0, F.pow(share / F.lit(top["top"]), a - 1)).otherwise(F.lit(1.0)), "weight": F.when(F.col("tokens") > 0, F.pow(share, a) / F.lit(top["norm"])).otherwise(F.lit(0.0))})
     out = out.withColumn("budget", F.floor(F.col("tokens") * F.col("epochs")).cast("long"))
