@@ -20,7 +20,7 @@ SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 def words(n, seed):
     r = random.Random(seed)
-    return [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnprst')}{r.choice('aeiou')}{r.randrange(40)}x" for _ in range(n)]
+    return [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.choice('lmnprst')}{r.choice('aeiou')}{r.choice('abcdefgh')}{r.choice('klmno')}x" for _ in range(n)]
 
 
 def corpus():
