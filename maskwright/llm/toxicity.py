@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from maskwright.llm.common import cut
+
 BITS = 20
 _WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that a fit reads at most, of each label; this bounds what reaches the driver.
@@ -66,20 +68,28 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 40, rate: float = 0.1, decay: float = 1e-4, least_rows: int = 5, least_z: float = 4.0, seed: int = 7) -> Machine:
-    """A machine for rows of term places and 0/1 labels; rows of one label only give a constant score."""
+def select_terms(with_1: np.ndarray, with_0: np.ndarray, n1: float, n0: float, least_rows: int = 5, least_z: float = 4.0) -> np.ndarray:
+    """Positions of the terms that the sample shows to be tied to the label; ``with_1`` and ``with_0``: rows of either label with each term."""
+    if not n1 or not n0:
+        return np.zeros(0, np.int64)
+    p = (with_1 + with_0) / (n1 + n0)
+    z = (with_1 / n1 - with_0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+    return np.flatnonzero((with_1 + with_0 >= least_rows) & (np.abs(z) >= least_z))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 40, rate: float = 0.1, decay: float = 1e-4, least_rows: int = 5, least_z: float = 4.0, seed: int = 7, index: np.ndarray | None = None) -> Machine:
+    """A machine for rows of term places and 0/1 labels; rows of one label only give a constant score.
+
+    ``index`` (sorted places) names the terms to use where they were selected before.
+    """
     y = np.asarray(labels, dtype=np.float64)
     n1, n0 = y.sum(), (1 - y).sum()
     bias = float(np.log((n1 + 0.5) / (n0 + 0.5)))
-    empty = Machine(bias, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, factors)))
-    if not n1 or not n0:
-        return empty
-    with_1, with_0 = (np.bincount(np.concatenate([r for r, t in zip(rows, y) if t == k] or [np.zeros(0, np.int32)]), minlength=1 << BITS) for k in (1, 0))
-    p = (with_1 + with_0) / len(y)
-    z = (with_1 / n1 - with_0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    index = np.flatnonzero((with_1 + with_0 >= least_rows) & (np.abs(z) >= least_z)).astype(np.int32)
-    if not len(index):
-        return empty
+    if index is None:
+        with_1, with_0 = (np.bincount(np.concatenate([r for r, t in zip(rows, y) if t == k] or [np.zeros(0, np.int32)]), minlength=1 << BITS) for k in (1, 0))
+        index = select_terms(with_1, with_0, n1, n0, least_rows, least_z).astype(np.int32)
+    if not n1 or not n0 or not len(index):
+        return Machine(bias, np.zeros(0, np.int32), np.zeros(0), np.zeros((0, factors)))
     gen = np.random.Generator(np.random.PCG64(seed))
     w, v = np.zeros(len(index)), gen.normal(0, 0.05, (len(index), factors))
     gw, gv, gb = np.full(len(index), 1e-2), np.full(v.shape, 1e-2), 1e-2
@@ -123,6 +133,16 @@ def _featurise(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "toxic", "places"])
 
 
+def _keep_terms(batches, index: np.ndarray):
+    """The rows of ``_featurise`` with the places that are in ``index``."""
+    for batch in batches:
+        lists = batch.column(2)
+        flat = lists.flatten().to_numpy()
+        kept = np.isin(flat, index)
+        ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[kept], pa.int32()))], ["doc_id", "toxic", "places"])
+
+
 def train(docs: DataFrame, labels: DataFrame, most_rows: dict[int, int] | None = None, **how) -> Machine:
     """Fit on labelled rows outside the held-out third.
 
@@ -136,8 +156,21 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: dict[int, int] | None =
         part = known.filter(F.col("toxic") == label).sort(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.union(part)
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
-    found = sample.mapInArrow(_featurise, "doc_id long, toxic int, places array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(p, dtype=np.int32) for p in found["places"]], found["toxic"].to_numpy(), **how)
+    sample = cut(sample.mapInArrow(_featurise, "doc_id long, toxic int, places array<int>"))
+    sizes = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    n1, n0 = float(sizes[0]), float(sizes[1] - sizes[0])
+    # 2**BITS rows at most; only the selected terms of a row come to the driver
+    least = {k: how[k] for k in ("least_rows", "least_z") if k in how}
+    counted = sample.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(F.sum("toxic").alias("with_1"), F.count("*").alias("rows"))
+    counted = counted.filter(F.col("rows") >= least.get("least_rows", 5)).sort("place").toArrow()
+    with_1, both = (counted.column(c).to_numpy().astype(np.float64) for c in ("with_1", "rows"))
+    index = counted.column("place").to_numpy()[select_terms(with_1, both - with_1, n1, n0, **least)].astype(np.int32)
+    held = docs.sparkSession.sparkContext.broadcast(index)
+    found = sample.mapInArrow(lambda batches: _keep_terms(batches, held.value), "doc_id long, toxic int, places array<int>").toArrow().combine_chunks()
+    order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
+    lists = found.column("places").combine_chunks()
+    flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    return fit([flat[offsets[i] : offsets[i + 1]] for i in order], found.column("toxic").to_numpy()[order], index=index, **how)
 
 
 def score_docs(docs: DataFrame, model: Machine) -> DataFrame:
