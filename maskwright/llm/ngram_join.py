@@ -6,54 +6,110 @@ tokens and ``need = ceil(s * num / den)``, a partner shares at least ``need`` to
 ``max_level`` by the estimated cost of scanning its prefix and of verifying what the scan would bring; a pair
 is verified only if it shares min(l, l') prefix tokens.
 
+Counts come in two steps, both exact. First a fixed share of the token space (twice the share of a prefix)
+is counted over all documents; where the tokens that nobody else has fill the prefix already, the document
+has no partner and goes. The others are counted over all their tokens. Tokens of buckets that a 32nd of all
+documents hit come last in the order and aren't counted, so that no list of the counting grows beyond that.
+
 Only the connected components are asked for, so pairs whose documents are already in one component are not
 verified again: rounds that pair every document with one pivot of its token lists merge most groups, then
-every pair that is still between two components and passes the filters is verified. No link is lost and a
-group of n copies costs about n verifications, not n squared. A prefix token that no other document has can't
-be shared, so a document's u such tokens bound its overlap with anyone by n - u; that keeps the loose members
-of a group of near copies from being held against all others, and picks as pivot the member with least u.
+every pair that is still between two components and passes the filters is verified. Loose members of a group
+of near copies are not held against all others either. For a pivot P, let a = |P - x| and b = |x - P|. Two
+documents x and y link only if they share (den * (a_x + a_y) + num * (b_x + b_y) - (den - num) * |P|) /
+(den + num) of the tokens in which they differ from P. If x doesn't link with P and b_y >= a_y, this exceeds
+a_y, so x and y share a token that P hasn't. Pairs of one pivot are therefore looked for by such tokens only.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import cut, mix, shingle_sets, slices
 from maskwright.llm.components import components
 
-#: Buckets of the frequency statistic, as bits; it has this size whatever the corpus.
+#: Buckets of the statistic of frequent tokens, as bits; it has this size whatever the corpus.
 BITS = 18
+#: A bucket is frequent from this share of all documents on (one in HOT).
+HOT = 32
+#: Bits of the filter on doc_id in front of the join that fetches texts, as a power of two: 1 MB.
+FILTER_BITS = 23
 #: Cost of verifying one candidate, in units of one list entry scanned.
 VERIFY_COST = 50.0
 
 
+def _identity(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
 def _profile(k: int):
-    """Per document: size and 128-bit identity of its shingle set; at the end, the counts of token buckets."""
+    """Per document: size and 128-bit identity of its shingle set; at the end, buckets with many documents."""
 
     def run(batches):
-        seen = np.zeros(1 << BITS, dtype=np.int64)
-        none = lambda n: pa.nulls(n)
+        seen, rows = np.zeros(1 << BITS, dtype=np.int64), 0
+        names = ["doc_id", "n", "s1", "s2", "bucket", "seen"]
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], k)
-                if sets:
-                    seen += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-                one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-                two = np.array([mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two), none(b - a).cast(pa.int32()), none(b - a).cast(pa.int64())], ["doc_id", "n", "s1", "s2", "bucket", "seen"])
-        hit = np.flatnonzero(seen)
-        empty = none(len(hit)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(hit.astype(np.int32)), pa.array(seen[hit])], ["doc_id", "n", "s1", "s2", "bucket", "seen"])
+                seen += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+                rows += b - a
+                two = _identity([s ^ np.uint64(0xA5A5A5A5A5A5A5A5) for s in sets])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(_identity(sets)), pa.array(two), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.int64())], names)
+        hit = np.flatnonzero((seen >= 8) & (seen * 2 * HOT >= rows))
+        none = pa.nulls(len(hit), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(hit.astype(np.int32)), pa.array(seen[hit])], names)
+
+    return run
+
+
+def _counted_share(k: int, num: int, den: int, hot):
+    """Per shingle set of a partition: its tokens in the counted share, and by how many they exceed the prefix."""
+    share = np.uint64(min(1 << 16, (1 << 16) * 2 * (den - num) // den))
+
+    def run(batches):
+        done = set()
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                sets = shingle_sets(texts[a:b], k)
+                keys, kept, lists, slack = _identity(sets).tolist(), [], [], []
+                for key, s in zip(keys, sets):
+                    if len(s) and key not in done:
+                        done.add(key)
+                        some = s[((s & np.uint64(0xFFFF)) < share) & ~hot.value[(s >> np.uint64(64 - BITS)).astype(np.int64)]]
+                        kept.append(key)
+                        slack.append(len(some) - (len(s) + -num * len(s) // den + 1))
+                        lists.append(some if len(some) else np.array([key], dtype=np.int64).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(slack, pa.int32()), _lists(lists)], ["s1", "slack", "tokens"])
+
+    return run
+
+
+def _all_tokens(k: int, hot):
+    def run(batches):
+        for batch in batches:
+            texts, ids = batch.column(1).to_pylist(), batch.column(0)
+            for a, b in slices(texts):
+                sets = shingle_sets(texts[a:b], k)
+                frequent = [hot.value[(s >> np.uint64(64 - BITS)).astype(np.int64)] for s in sets]
+                keys = pa.array(_identity(sets))
+                for kind in (False, True):
+                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), keys, pa.array([len(s) for s in sets], pa.int32()), pa.array([kind] * (b - a)), _lists([s[f == kind] for s, f in zip(sets, frequent)])], ["doc", "key", "n", "hot", "tokens"])
 
     return run
 
 
 def choose_level(extra: np.ndarray, s: int, need: int, max_level: int) -> int:
-    """The l of least estimated cost; ``extra``: expected other documents on each token's list, rare tokens first."""
+    """The l of least estimated cost; ``extra``: other documents on each token's list, rare tokens first."""
     total = np.cumsum(extra[: s - need + max_level])
     levels = np.arange(1, min(max_level, need) + 1)
     length = s - need + levels
@@ -61,60 +117,56 @@ def choose_level(extra: np.ndarray, s: int, need: int, max_level: int) -> int:
     return int(levels[np.argmin(length + at + VERIFY_COST * at / levels)])
 
 
-def _prefixes(k: int, num: int, den: int, max_level: int, counts):
+def _prefixes(num: int, den: int, max_level: int):
+    """Rows (doc, n, sorted structs of count and token shared with others) to those with level and places."""
+
     def run(batches):
-        seen = counts.value
-        rank = np.empty(1 << BITS, dtype=np.uint64)
-        rank[np.argsort(seen, kind="stable")] = np.arange(1 << BITS, dtype=np.uint64)
-        usual = seen.mean()
-        extra = np.maximum(0.0, seen - usual - 3.0 * np.sqrt(usual) - 1.0)
-        by_rank = np.empty_like(extra)
-        by_rank[rank.astype(np.int64)] = extra
-        shift = np.uint64(64 - BITS)
-        rest = np.uint64((1 << (64 - BITS)) - 1)
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in slices(texts):
-                levels, lists, sizes = [], [], []
-                for s in shingle_sets(texts[a:b], k):
-                    n = len(s)
-                    need = -(-num * n // den)
-                    tokens = np.sort((rank[(s >> shift).astype(np.int64)] << shift) | (s & rest))
-                    level = choose_level(by_rank[(tokens[: n - need + max_level] >> shift).astype(np.int64)], n, need, max_level) if n else 0
-                    levels.append(level)
-                    lists.append(tokens[: n - need + level].view(np.int64))
-                    sizes.append(n)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(levels, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n", "l", "tokens"])
+            levels, places, lists = [], [], []
+            for n, held in zip(batch.column(1).to_pylist(), batch.column(2)):
+                fields = held.values
+                count, tok = fields.field(0).to_numpy(), fields.field(1).to_numpy()
+                need, alone = -(-num * n // den), n - len(tok)
+                levels.append(choose_level(np.concatenate([np.zeros(alone), count - 1.0]), n, need, max_level))
+                places.append(n - need + levels[-1] - alone)
+                lists.append(tok.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(levels, pa.int32()), pa.array(places, pa.int32()), _lists(lists)], ["doc", "n", "l", "places", "tokens"])
 
     return run
 
 
-def _verify(k: int, num: int, den: int):
-    """Rows (a, b, text_a, text_b), those of one b together: the pairs that link."""
+def _verify(k: int):
+    """Rows (a, b, text_a, text_b), those of one b together: set sizes and overlap of each pair."""
 
     def run(batches):
         last, kept = None, None
         for batch in batches:
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            good = []
+            na, nb, both = [], [], []
             for lo, hi in slices(ta, 1 << 20):
                 left = shingle_sets(ta[lo:hi], k)
                 for i in range(lo, hi):
                     if last is None or last != (b[i], tb[i]):
                         last, kept = (b[i], tb[i]), shingle_sets([tb[i]], k)[0]
                     x = left[i - lo]
-                    if len(x) and len(kept):
-                        at = np.searchsorted(kept, x)
-                        both = int((kept[np.minimum(at, len(kept) - 1)] == x).sum())
-                        if den * both >= num * (len(x) + len(kept) - both):
-                            good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
+                    at = np.searchsorted(kept, x)
+                    na.append(len(x))
+                    nb.append(len(kept))
+                    both.append(int((kept[np.minimum(at, len(kept) - 1)] == x).sum()) if len(kept) else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(both, pa.int64())], ["a", "b", "na", "nb", "o"])
 
     return run
 
 
+def _only(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``source`` whose doc_id is in ``wanted``; a filter of fixed size keeps most others from the shuffle."""
+    word, bit = F.expr(f"shiftright(xxhash64(doc_id) & {(1 << FILTER_BITS) - 1}, 6)"), F.expr("cast(xxhash64(doc_id) & 63 as int)")
+    words = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    # at most 2**(FILTER_BITS - 6) rows of 16 bytes, whatever the corpus
+    likely = source.withColumn("word", word).join(F.broadcast(words), "word").filter(F.expr("shiftright(bits, cast(xxhash64(doc_id) & 63 as int)) & 1 = 1")).drop("word", "bits")
+    return likely.join(wanted.hint("merge"), "doc_id", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, max_level: int = 4, max_rounds: int = 4) -> DataFrame:
     """One row per row of ``docs`` (doc_id long, text string): doc_id, n_shingles, component_id.
 
@@ -129,64 +181,82 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = cut(source.mapInArrow(_profile(k), "doc_id long, n long, s1 long, s2 long, bucket int, seen long"))
     rows = profile.filter("bucket is null").select("doc_id", "n", "s1", "s2")
-    # 2**BITS numbers at most, whatever the corpus
-    counted = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).toPandas()
-    seen = np.zeros(1 << BITS, dtype=np.int64)
-    seen[counted["bucket"].to_numpy(dtype=np.int64)] = counted["seen"].to_numpy(dtype=np.int64)
-    counts = spark.sparkContext.broadcast(seen)
+    # a document hits as many buckets as it has tokens at most, so this list is bounded by HOT mean documents
+    often = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).filter(F.col("seen") * HOT >= F.lit(rows.count())).select("bucket").toPandas()
+    frequent = np.zeros(1 << BITS, dtype=bool)
+    frequent[often["bucket"].to_numpy(dtype=np.int64)] = True
+    hot = spark.sparkContext.broadcast(frequent)
 
+    some = source.mapInArrow(_counted_share(k, num, den, hot), "s1 long, slack int, tokens array<long>").select(F.explode("tokens").alias("tok"), "s1", "slack")
+    on_list = Window.partitionBy("tok")
+    met = some.withColumn("other", F.min("s1").over(on_list) < F.max("s1").over(on_list)).filter("other or slack < 0")
+    open_sets = met.groupBy("s1").agg(F.countDistinct(F.when(F.col("other"), F.col("tok"))).alias("met"), F.max("slack").alias("slack")).filter("met > slack").select("s1")
     sets = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    prefixes = source.mapInArrow(_prefixes(k, num, den, max_level, counts), "doc_id long, n long, l int, tokens array<long>").filter("n > 0")
-    chosen = cut(prefixes.join(sets.select(F.col("rep").alias("doc_id"), "n").distinct(), ["doc_id", "n"]).distinct())
-    postings = chosen.select(F.posexplode("tokens").alias("at", "tok"), F.col("doc_id").alias("doc"), "n", "l", F.size("tokens").alias("p"))
-    lists = postings.groupBy("tok").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("tok")
-    met = cut(postings.join(lists, "tok"))
-    # at most n - u tokens can be shared, u being the prefix tokens that nobody else has
-    bound = met.groupBy("doc", "n").agg((F.first("n") - F.first("p") + F.count("*")).alias("m")).filter(f"{den} * m >= {num} * n")
-    shared = cut(met.drop("p").join(bound, ["doc", "n"]))
-
-    wanted = shared.select(F.col("doc").alias("doc_id")).distinct()
-    texts = cut(source.join(wanted, "doc_id").distinct())
+    wanted = cut(sets.join(open_sets, "s1").select(F.col("rep").alias("doc_id")).distinct())
+    texts = cut(_only(source, wanted).distinct())
+
+    spread = F.when(F.col("hot"), F.pmod(F.hash("doc"), F.lit(64))).otherwise(0)
+    every = texts.mapInArrow(_all_tokens(k, hot), "doc long, key long, n int, hot boolean, tokens array<long>").select(F.explode("tokens").alias("tok"), "doc", "key", "n", "hot")
+    on_list = Window.partitionBy("tok", spread)
+    counted = every.withColumn("many", F.when(F.col("hot"), F.lit(1 << 30)).otherwise(F.count(F.lit(1)).over(on_list))).withColumn("other", F.col("hot") | (F.min("doc").over(on_list) < F.max("doc").over(on_list))).filter("other")
+    held = counted.groupBy("doc", "key", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("many").cast("long").alias("many"), "tok"))).alias("held")).filter(f"{den} * size(held) >= {num} * n").select("doc", "n", "held")
+    chosen = held.mapInArrow(_prefixes(num, den, max_level), "doc long, n int, l int, places int, tokens array<long>")
+    # every token shared with others, with its place; m bounds the overlap with anyone
+    full = cut(chosen.select("doc", F.col("n").cast("long").alias("n"), F.size("tokens").cast("long").alias("m"), "l", "places", F.posexplode("tokens").alias("at", "tok")).withColumn("pre", F.expr("at < places")).drop("places"))
     near = F.expr(f"{num} * greatest(n, pn) <= {den} * least(n, pn) and {num + den} * least(m, pm) >= {num} * (n + pn)")
+    apart = F.expr("label <> plabel and (star is null or pstar is null or star <> pstar)")
+    linking = f"{den} * o >= {num} * (na + nb - o)"
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link; each text of b is read once for all its partners."""
+    def compared(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) with sizes and overlap; each text of b is read once for all its partners."""
         one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
         two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").sortWithinPartitions("b")
-        return cut(two.select("a", "b", "ta", "tb").mapInArrow(_verify(k, num, den), "a long, b long").distinct())
+        return cut(two.select("a", "b", "ta", "tb").mapInArrow(_verify(k), "a long, b long, na long, nb long, o long"))
 
-    links = None
-    labels = None
+    entries = full.filter("pre").withColumn("star", F.lit(None).cast("long"))
+    links = labels = None
     for turn in range(max_rounds + 1):
-        if labels is None:
-            open_ = shared.withColumn("label", F.col("doc"))
-        else:
-            named = shared.join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root")
-            mixed = named.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("many")).filter("x < y")
-            open_ = cut(named.join(mixed.select("tok", "many"), "tok"))
-            size = open_.agg(F.count("*"), F.sum("many")).first()
-            if not size[0]:
-                break
-            if turn == max_rounds or size[1] <= 8 * size[0] or not found:
-                other = open_.select("tok", F.col("doc").alias("b"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("l").alias("pl"), F.col("at").alias("pat"), F.col("label").alias("plabel"))
-                pairs = open_.join(other, "tok").filter("doc < b and label <> plabel").filter(near).groupBy(F.col("doc").alias("a"), "b", "n", "pn").agg(F.count("*").alias("c"), F.min(F.least("l", "pl")).alias("least"), F.max("at").alias("at"), F.max("pat").alias("pat"))
-                # all common tokens up to the last one seen are counted; after it no more than what is left can be
-                pairs = pairs.filter("c >= least").filter(f"{num + den} * (c + least(n - at, pn - pat) - 1) >= {num} * (n + pn)").select("a", "b").distinct()
-                more = linked(pairs.select("a", "b"))
-                links = links.union(more)
-                labels = components(links)
-                break
-        order = F.struct((F.col("n") - F.col("m")).alias("u"), (F.col("doc") if turn == 0 else F.xxhash64(F.lit(turn), "doc")).alias("o"))
-        pivot = open_.groupBy("tok").agg(F.min(F.struct(order.alias("o"), F.col("doc").alias("b"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("plabel"))).alias("p")).select("tok", "p.b", "p.pn", "p.pm", "p.plabel")
-        pairs = open_.join(pivot, "tok").filter("label <> plabel").filter(near).groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("c"))
-        best = pairs.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("o"))).alias("p")).select("a", (-F.col("p.o")).alias("b"))
-        more = linked(best)
+        named = entries.withColumn("label", F.col("doc"))
+        if labels is not None:
+            named = entries.join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("label", F.coalesce("root", "doc")).drop("root")
+        own = F.coalesce("star", -1 - F.col("doc"))
+        mixed = named.groupBy("tok").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(own).alias("v"), F.max(own).alias("w"), F.count("*").alias("many")).filter("x < y and v < w")
+        open_ = cut(named.join(mixed.select("tok", "many"), "tok"))
+        size = open_.agg(F.count("*"), F.sum("many")).first()
+        if not size[0]:
+            break
+        last = turn == max_rounds or (turn > 0 and (size[1] <= 8 * size[0] or not found))
+        order = F.struct((F.col("n") - F.col("m")).alias("u"), (F.col("doc") if last or turn == 0 else F.xxhash64(F.lit(turn), "doc")).alias("o"))
+        pivot = open_.groupBy("tok").agg(F.min(F.struct(order.alias("o"), F.col("doc").alias("b"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("label").alias("plabel"), F.col("star").alias("pstar"))).alias("p")).select("tok", "p.b", "p.pn", "p.pm", "p.plabel", "p.pstar")
+        if last:
+            # no pair is left among those of a list that share the pivot's star, or else its component
+            side = open_.join(pivot.select("tok", "plabel", "pstar"), "tok").withColumn("inner", F.coalesce(F.expr("star = pstar"), F.expr("pstar is null and label = plabel"))).drop("plabel", "pstar")
+            side = cut(side.select("tok", "doc", "n", "m", "l", "at", "pre", "label", "star", "inner"))
+            other = side.select("tok", F.col("doc").alias("b"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("l").alias("pl"), F.col("at").alias("pat"), F.col("pre").alias("ppre"), F.col("label").alias("plabel"), F.col("star").alias("pstar"), F.col("inner").alias("pinner"))
+            met = side.filter("not inner").join(other, "tok").filter("pinner or doc < b").filter(near).filter(apart)
+            pairs = met.groupBy(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).agg(F.count(F.expr("case when pre and ppre then 1 end")).alias("c"), F.count("*").alias("any"), F.min(F.least("l", "pl")).alias("least"))
+            # a pair of two levels shares min(l, l') tokens of the prefixes; one of a pivot shares a token that the pivot hasn't
+            starred = stars.select(F.col("doc").alias("a"), F.col("star").alias("x")), stars.select(F.col("doc").alias("b"), F.col("star").alias("y"))
+            pairs = pairs.join(starred[0], "a", "left").join(starred[1], "b", "left").filter("c >= least or x = y").select("a", "b")
+            links = links.union(compared(pairs).filter(linking).select("a", "b"))
+            labels = components(links)
+            break
+        best = open_.join(pivot, "tok").filter(near).filter(apart).groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("o"))).alias("p")).select("a", (-F.col("p.o")).alias("b"))
+        tried = compared(best)
+        if turn == 0:
+            one = tried.groupBy("a", "b").agg(F.count("*").alias("rows"), F.max("na").alias("na"), F.max("nb").alias("nb")).filter("rows = 1")
+            hubs = one.select(F.col("b").alias("doc")).distinct()
+            stars = cut(one.filter("na >= nb").select(F.col("a").alias("doc"), F.col("b").alias("star")).join(hubs, "doc", "left_anti").union(hubs.select("doc", "doc")))
+            # a starred document's tokens that its pivot has are told by the star, all others are looked up
+            theirs = full.select(F.col("doc").alias("star"), "tok", F.lit(True).alias("has"))
+            told = full.join(stars, "doc", "left").join(theirs, ["star", "tok"], "left").filter("pre or (star is not null and has is null)")
+            entries = cut(told.withColumn("star", F.expr("if(has, star, null)")).select("tok", "doc", "n", "m", "l", "at", "pre", "star"))
+        more = tried.filter(linking).select("a", "b")
         found = not more.isEmpty()
         links = more if links is None else links.union(more)
-        if found:
-            labels = components(links)
-        elif labels is None:
-            labels = spark.createDataFrame([], "node long, root long")
+        labels = components(links) if found else labels if labels is not None else spark.createDataFrame([], "node long, root long")
+    if labels is None:
+        labels = spark.createDataFrame([], "node long, root long")
     keyed = rows.join(sets, ["s1", "s2", "n"], "left").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return keyed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
 

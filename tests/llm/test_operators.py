@@ -71,6 +71,32 @@ def test_jaccard_components(spark, docs, k, num):
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
 
 
+def test_loose_groups_of_near_copies(spark):
+    """Chains of edits, insertions, cuts and shared replacements around a few texts, most near the threshold."""
+    rng = random.Random(5)
+    texts = []
+    for base in range(3):
+        words = [f"b{base}w{i}" for i in range(rng.choice([60, 150]))]
+        pool = [words]
+        for j in range(110):
+            one = list(rng.choice(pool[-6:] + [words]))
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(one))
+                kind = rng.randrange(4)
+                one[at : at + (kind == 1) * 5 + 1] = [[f"n{rng.randrange(10**6)}"], [], [one[at], f"c{rng.randrange(4)}"], [f"c{rng.randrange(4)}"]][kind]
+            pool.append(one)
+        texts += [" ".join(x) for x in pool]
+    sets = [shingles(t, 4) for t in texts]
+    root = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and root[i] != root[j]:
+            lo, hi = sorted((root[i], root[j]))
+            root = [lo if r == hi else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, k=4, num=85).collect()}
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < 300
+
+
 def test_keep_one(spark, docs):
     kept = [r["doc_id"] for r in ngram_join.keep_one(docs).collect()]
     assert len(kept) == len(set(kept)) and {1, None, 40, 41, 43, 47} <= set(kept) and not {2, 3, 44} & set(kept)
