@@ -189,6 +189,13 @@ def test_line_templates(spark, docs):
     assert line_templates.drop_recurring_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_recur(spark):
+    bodies = [" ".join(words(30, 500 + i)) for i in range(9)]
+    rows = [(i, f"All rights reserved.\n{x}\nPage {i}\n\nEnd" if i else f"{x}\nseldom seen") for i, x in enumerate(bodies)]
+    out = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: x + "\n" if i else rows[0][1] for i, x in enumerate(bodies)}
+
+
 def test_toxicity_learns_pairs_and_holds_out(spark):
     r = random.Random(3)
     rows, labels = [], []
