@@ -196,6 +196,20 @@ def test_short_lines_recur(spark):
     assert out == {i: x + "\n" if i else rows[0][1] for i, x in enumerate(bodies)}
 
 
+def test_copies_count_once(spark):
+    bodies = [" ".join(words(12, 600 + i)) for i in range(9)]
+    shared = "\n".join(" ".join(words(8, 650 + i)) for i in range(3))
+    rows = [(i, f"{x}\n{shared}") for i, x in enumerate(bodies)]
+    lone = [words(40, 700 + i) for i in range(6)]
+    for j in range(10):
+        near = [list(x) for x in lone]
+        near[j % 6][j] = f"edit{chr(97 + j)}"
+        rows.append((20 + j, "\n".join(" ".join(x) for x in near) + "\n" + shared.split("\n")[0]))
+        rows.append((40 + j, "\n".join(" ".join(x) for x in lone)))
+    out = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: bodies[i] if i < 9 else t.removesuffix("\n" + shared.split("\n")[0]) for i, t in rows}
+
+
 def test_toxicity_learns_pairs_and_holds_out(spark):
     r = random.Random(3)
     rows, labels = [], []
