@@ -210,6 +210,16 @@ def test_copies_count_once(spark):
     assert out == {i: bodies[i] if i < 9 else t.removesuffix("\n" + shared.split("\n")[0]) for i, t in rows}
 
 
+def test_many_templates_of_a_leaf(spark):
+    fixed, bodies, names = [words(6, 800 + j) for j in range(5)], [" ".join(words(30, 820 + i)) for i in range(13)], words(70, 850)
+    rows = []
+    for i, x in enumerate(bodies):
+        lines = [f"task worker {' '.join(f)} {names[5 * i + j]}" for j, f in enumerate(fixed) if i < 12 - j or j == 4]
+        rows.append((i, "\n".join([x, *lines, "task worker " + " ".join(words(7, 900 + i))])))
+    out = {r["doc_id"]: r["text"] for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: f"{x}\ntask worker {' '.join(words(7, 900 + i))}" for i, x in enumerate(bodies)}
+
+
 def test_toxicity_learns_pairs_and_holds_out(spark):
     r = random.Random(3)
     rows, labels = [], []
