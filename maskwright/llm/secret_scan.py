@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a randomness test battery over other token strings.
 
-A candidate is a run of [A-Za-z0-9+/_=-] of 20 characters or more with letters and digits. Its encoding is
-inferred (hex, base32, alphanumeric, base64); over that alphabet three tests ask whether it could be uniform
+A candidate is a run of [A-Za-z0-9+/_-] of 20 characters or more, with up to two = at its end; an = inside a run
+parts a name from its value, and each is tested by itself. Its encoding is
+inferred (digits, hex, base32, alphanumeric, base64); over that alphabet three tests ask whether it could be uniform
 random: chi-squared of the character counts, runs about the middle of the alphabet, and serial correlation of
 neighbours. Fisher's method joins the three p-values. Inside each class of length (longer strings give the
 tests more power) the Benjamini-Hochberg rule finds those that are not random at a false-discovery rate q;
@@ -19,9 +20,10 @@ from maskwright.llm.quality_rules import let
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 
 ALPHABETS = {
+    "digits": "0123456789",
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
@@ -63,10 +65,10 @@ def _upper_tail(z: F.Column) -> F.Column:
 
 
 def battery(value: F.Column) -> F.Column:
-    """struct(enc, p): the inferred encoding and the joint p-value under uniform randomness; enc null: no candidate."""
+    """struct(enc, p): the inferred encoding and the joint p-value under uniform randomness."""
     body = F.regexp_replace(value, "=+$", "")
-    has = lambda p: value.rlike(p)
-    enc = F.when(~(has("[0-9]") & has("[A-Za-z]")), F.lit(None)).when(body.rlike("^[0-9a-f]+$") | body.rlike("^[0-9A-F]+$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").when(body.rlike("^[A-Za-z0-9]+$"), "alnum").when(~body.contains("="), "base64")
+    has = lambda p: body.rlike(p)
+    enc = F.when(has("^[0-9]+$"), "digits").when(has("^[0-9a-f]+$") | has("^[0-9A-F]+$"), "hex").when(has("^[A-Z2-7]+$"), "base32").when(has("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
 
     def tested(x):
         alphabet = F.element_at(F.create_map(*[F.lit(y) for pair in ALPHABETS.items() for y in pair]), x["enc"])
@@ -98,7 +100,7 @@ def battery(value: F.Column) -> F.Column:
         fisher = -(F.ln(F.greatest(p1, F.lit(1e-30))) + F.ln(F.greatest(p2, F.lit(1e-30))) + F.ln(F.greatest(p3, F.lit(1e-30))))
         return F.exp(-fisher) * (1 + fisher + fisher * fisher / 2)
 
-    return let(F.struct(enc.alias("enc"), body.alias("body")), lambda x: F.struct(x["enc"].alias("enc"), F.when(x["enc"].isNotNull(), tested(x)).alias("p")))
+    return let(F.struct(enc.alias("enc"), body.alias("body")), lambda x: F.struct(x["enc"].alias("enc"), tested(x).alias("p")))
 
 
 def _length_class(n: F.Column) -> F.Column:
@@ -114,7 +116,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", text.alias("text"), base.alias("base"), _spans(text, CANDIDATE, 3, 20).alias("more"))
     free = F.filter("more", lambda m: ~F.exists("base", lambda b: (m["s"] < b["e"]) & (b["s"] < m["e"])))
     tests = F.transform(free, lambda m: let(F.substring(F.col("text"), m["s"] + 1, m["e"] - m["s"]), lambda v: F.struct(m.alias("m"), battery(v).alias("t"))))
-    return found.select("doc_id", "base", F.filter(F.when(F.size("more") > 0, tests).otherwise(F.transform(F.array().cast("array<int>"), lambda _: F.struct(F.struct(F.lit(0).alias("s"), F.lit(3).alias("o"), F.lit(0).alias("e")).alias("m"), F.struct(F.lit("").alias("enc"), F.lit(0.0).alias("p")).alias("t")))), lambda x: x["t"]["enc"].isNotNull()).alias("tests"))
+    return found.select("doc_id", "base", F.when(F.size("more") > 0, tests).otherwise(F.transform(F.array().cast("array<int>"), lambda _: F.struct(F.struct(F.lit(0).alias("s"), F.lit(3).alias("o"), F.lit(0).alias("e")).alias("m"), F.struct(F.lit("").alias("enc"), F.lit(0.0).alias("p")).alias("t")))).alias("tests"))
 
 
 def discovery_limits(tests: DataFrame, q: float) -> dict[int, float]:

@@ -179,6 +179,18 @@ def test_secrets(spark):
     assert secret_scan.scan(empty(spark)).count() == 0
 
 
+def test_secrets_behind_names_and_of_one_class(spark):
+    r = random.Random(6)
+    some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    alnum = secret_scan.ALPHABETS["alnum"]
+    names = ["secret_access_key=", "private_key=", "sessionid=", "a_name_of_more_than_20_letters=", "", ""]
+    values = [some(alnum, 40), some(alnum, 64) + "==", some(alnum, 40), some(alnum, 40), some(alnum[:52], 40), some("0123456789", 30)]
+    rows = [(i, f"see {n}{v} here") for i, (n, v) in enumerate(zip(names, values))]
+    got = {x["doc_id"]: x["spans"].split(",") for x in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (n, v) in enumerate(zip(names, values)):
+        assert f"rand:{4 + len(n)}:{4 + len(n) + len(v)}" in got[i]
+
+
 def test_line_templates(spark, docs):
     out = {r["doc_id"]: r for r in line_templates.drop_recurring_lines(docs).collect()}
     for i in range(60, 72):
