@@ -238,7 +238,7 @@ def tasks(spark, sf):
 
 @query(f"WITH {_TASKS_SQL} SELECT CAST(i - 1 AS INTEGER) AS pos, s AS status, count(status) AS n FROM (SELECT unnest(['processing', 'review', 'completed', 'restored', 'failed', 'cancelled']) AS s, unnest(range(1, 7)) AS i) LEFT JOIN tasks ON status = s AND event_id % 12 <> 4 GROUP BY i, s")
 def stats_status_dist(spark, sf):
-    return stats.status_distribution(tasks(spark, sf).filter("event_id % 12 <> 4"))
+    return stats.status_distribution(tasks(spark, sf))
 
 
 @query(f"WITH {_TASKS_SQL} SELECT file_type, count(*) AS n FROM tasks GROUP BY file_type")

@@ -33,6 +33,11 @@ def test_query(spark, duck, name):
     assert sorted(df.columns) == sorted(set(df.columns))
 
 
+def test_status_distribution_counts_every_task(spark, duck):
+    found = {r["pos"]: r["n"] for r in QUERIES["stats_status_dist"](spark, SF).collect()}
+    assert found == dict(duck.execute("SELECT p, count(event_id) FROM range(6) s(p) LEFT JOIN events ON event_id % 6 = p GROUP BY p").fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__
 
