@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
+import time
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _written: list[str] = []
+_collected = [0.0]
+#: Bits of the filters on keys, as a power of two: 1 MB.
+FILTER_BITS = 23
+#: A key is hot when it holds more than one in HOT_SHARE of all rows; so there are HOT_SHARE hot ones at most.
+HOT_SHARE = 1000
+SALTS = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="maskwright-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
     return f"file://{_own_dir[0]}"
 
 
@@ -27,14 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from the files.
 
     Losing an executor then repeats only the steps after the cut. The driver drops what it no longer
-    refers to, so that shuffle files of the steps before can go.
+    refers to, so that shuffle files of the steps before can go; it looks every two seconds at most.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected[0] > 2:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +66,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def likely(source: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``source`` whose ``key`` (a long) may be in ``wanted``: all that are, and few others.
+
+    A bit of a filter of fixed size for each wanted key: 2**(FILTER_BITS - 6) rows of 16 bytes at most are broadcast,
+    whatever the corpus. Beyond some millions of keys it lets more through, never less.
+    """
+    word, bit = F.expr(f"shiftright(xxhash64({key}) & {(1 << FILTER_BITS) - 1}, 6)"), F.expr(f"cast(xxhash64({key}) & 63 as int)")
+    words = wanted.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    return source.withColumn("_word", word).join(F.broadcast(words), "_word").filter(F.expr(f"shiftright(_bits, cast(xxhash64({key}) & 63 as int)) & 1 = 1")).drop("_word", "_bits")
+
+
+def in_keys(rows: DataFrame, wanted: DataFrame, keys: list[str], hot: F.Column) -> DataFrame:
+    """The rows of ``rows`` whose ``keys`` are in ``wanted`` (distinct keys); those of ``wanted`` that are ``hot``,
+    HOT_SHARE at most, are broadcast, so that no task gathers the rows of one of them."""
+    few = F.broadcast(wanted.filter(hot).select(*keys))
+    rest = rows.join(few, keys, "left_anti").join(wanted.filter(~hot).select(*keys).hint("merge"), keys, "left_semi")
+    return rows.join(few, keys, "left_semi").unionByName(rest)
+
+
 # --- word scanning -----------------------------------------------------------------------------------------
 
 _GEN = np.random.Generator(np.random.PCG64(20240607))
@@ -87,18 +121,18 @@ def window_hash(values: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     return mix((total[starts + length] - total[starts]) * down[starts])
 
 
-def scan_words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def scan_words(texts: list[str | None], lower: bool = True, detail: bool = False) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts in order, and each text's first word.
 
     Lower-cases A-Z only. Works on blocks that end at white space, so that memory follows the block, not
-    the text.
+    the text. With ``detail`` also each word's line in its text, from 0, and whether it holds a digit 0-9.
     """
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join(parts) + b"\n"
     if lower:
         data = data.lower()
     codes = np.frombuffer(data, dtype=np.uint8)
-    hashes, firsts, at = [], [], 0
+    hashes, firsts, digits, at = [], [], [], 0
     while at < len(codes):
         end = min(at + _BLOCK, len(codes))
         while end < len(codes) and not _SPACE[codes[end - 1]]:
@@ -113,10 +147,18 @@ def scan_words(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray,
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_CHAR[block] * up[: len(block)])])
         hashes.append(mix((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64) * MULTS[63]))
         firsts.append(begin + at)
+        if detail:
+            seen = np.concatenate([np.zeros(1, np.int32), np.cumsum((block >= 0x30) & (block <= 0x39), dtype=np.int32)])
+            digits.append(seen[stop] > seen[begin])
         at = end
     words, begin = np.concatenate(hashes), np.concatenate(firsts)
     byte_at = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    return words, np.searchsorted(begin, byte_at)
+    first = np.searchsorted(begin, byte_at)
+    if not detail:
+        return words, first
+    ends = np.flatnonzero(codes == 0x0A)
+    line = np.searchsorted(ends, begin) - np.repeat(np.searchsorted(ends, byte_at[:-1]), np.diff(first))
+    return words, first, line, np.concatenate(digits)
 
 
 def slices(texts: list[str | None], most: int = 1 << 21):
@@ -134,7 +176,10 @@ def slices(texts: list[str | None], most: int = 1 << 21):
 
 def shingle_sets(texts: list[str | None], k: int, lower: bool = True) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's k-word shingles; fewer words count as one shingle, none as none."""
-    words, first = scan_words(texts, lower)
+    return sets_of(*scan_words(texts, lower), k)
+
+
+def sets_of(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
     n = len(words) - k + 1
     grams = np.zeros(max(n, 0), dtype=np.uint64)
     for j in range(k if n > 0 else 0):
