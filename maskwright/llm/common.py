@@ -10,6 +10,7 @@ import time
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,62 @@ def in_keys(rows: DataFrame, wanted: DataFrame, keys: list[str], hot: F.Column)
     return rows.join(few, keys, "left_semi").unionByName(rest)
 
 
+# --- numbers dealt to buckets ------------------------------------------------------------------------------
+
+#: Numbers of one row of a dealt table, and of one bucket on average.
+ROW = 256
+BUCKET = 1 << 18
+
+
+def n_buckets(numbers: int) -> int:
+    return max(256, -(-numbers // BUCKET))
+
+
+def deal(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Columns of 64-bit numbers as rows (bucket, binary, ...), each of ROW numbers of one bucket at most: few rows to shuffle."""
+    bucket = bucket.astype(np.uint16 if len(bucket) and bucket.max() < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order].astype(np.int64)
+    new = np.ones(len(b), dtype=bool)
+    new[1:] = b[1:] != b[:-1]
+    start = np.flatnonzero(new)
+    at = np.arange(len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    row = np.flatnonzero(at % ROW == 0)
+    ends = pa.py_buffer((np.append(row, len(b)) * 8).astype(np.int32))
+    values = [pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(np.ascontiguousarray(c[order]))]) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(b[row]), *values], ["bucket", *(f"c{i}" for i in range(len(columns)))])
+
+
+def dealt_schema(columns: int) -> str:
+    return ", ".join(["bucket long", *(f"c{i} binary" for i in range(columns))])
+
+
+def by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def buckets(batches, columns: int):
+    """(bucket, columns) of each bucket of a partition dealt by ``by_bucket``; one bucket is held at a time."""
+    now, held = None, [[] for _ in range(columns)]
+    for batch in batches:
+        b = batch.column(0).to_numpy()
+        if not len(b):
+            continue
+        cuts = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), len(b)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if now is not None and b[lo] != now:
+                yield now, [np.concatenate(x) for x in held]
+                held = [[] for _ in range(columns)]
+            now = b[lo]
+            for i, x in enumerate(held):
+                column = batch.column(i + 1)
+                ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset :]
+                # a copy, as the batch goes
+                x.append(np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[lo] : ends[hi]].copy().view(np.uint64))
+    if now is not None:
+        yield now, [np.concatenate(x) for x in held]
+
+
 # --- word scanning -----------------------------------------------------------------------------------------
 
 _GEN = np.random.Generator(np.random.PCG64(20240607))

@@ -24,18 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import cut, mix, shingle_sets, slices
+from maskwright.llm.common import buckets, by_bucket, cut, deal, dealt_schema, likely, mix, n_buckets, shingle_sets, slices
 from maskwright.llm.components import components
 
 #: Buckets of the statistic of frequent tokens, as bits; it has this size whatever the corpus.
 BITS = 18
 #: A bucket is frequent from this share of all documents on (one in HOT).
 HOT = 32
-#: Bits of the filter on doc_id in front of the join that fetches texts, as a power of two: 1 MB.
-FILTER_BITS = 23
 #: Cost of verifying one candidate, in units of one list entry scanned.
 VERIFY_COST = 50.0
 
@@ -71,39 +69,98 @@ def _profile(k: int):
     return run
 
 
-def _counted_share(k: int, num: int, den: int, hot):
-    """Per shingle set of a partition: its tokens in the counted share, and by how many they exceed the prefix."""
+def _counted_share(k: int, num: int, den: int, hot, n: int):
+    """The tokens of the counted share with their set's key, dealt by token; each set once a partition."""
     share = np.uint64(min(1 << 16, (1 << 16) * 2 * (den - num) // den))
 
     def run(batches):
         done = set()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], k)
-                keys, kept, lists, slack = _identity(sets).tolist(), [], [], []
-                for key, s in zip(keys, sets):
+                tokens, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+                for key, s in zip(_identity(sets).tolist(), sets):
                     if len(s) and key not in done:
                         done.add(key)
-                        some = s[((s & np.uint64(0xFFFF)) < share) & ~hot.value[(s >> np.uint64(64 - BITS)).astype(np.int64)]]
-                        kept.append(key)
-                        slack.append(len(some) - (len(s) + -num * len(s) // den + 1))
-                        lists.append(some if len(some) else np.array([key], dtype=np.int64).view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(slack, pa.int32()), _lists(lists)], ["s1", "slack", "tokens"])
+                        tokens.append(s[((s & np.uint64(0xFFFF)) < share) & ~hot.value[(s >> np.uint64(64 - BITS)).astype(np.int64)]])
+                        keys.append(np.full(len(tokens[-1]), key, dtype=np.int64).view(np.uint64))
+                tok = np.concatenate(tokens)
+                yield deal(_bucket(tok, n), tok, np.concatenate(keys))
 
     return run
 
 
-def _all_tokens(k: int, hot):
+def _bucket(x: np.ndarray, n: int) -> np.ndarray:
+    return ((x >> np.uint64(17)) % np.uint64(n)).astype(np.int64)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _alone(n: int):
+    """From tokens with keys to the numbers of tokens that each key has alone, dealt by key."""
+
+    def run(batches):
+        for _, (tok, key) in buckets(batches, 2):
+            order = np.argsort(tok)
+            tok, key = tok[order], key[order]
+            at = _runs(tok)
+            low = np.minimum.reduceat(key, at)
+            own, count = np.unique(low[low == np.maximum.reduceat(key, at)], return_counts=True)
+            yield deal(_bucket(mix(own), n), own, count.astype(np.uint64))
+
+    return run
+
+
+def _totals(batches):
+    for _, (key, count) in buckets(batches, 2):
+        own, at = np.unique(key, return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.bincount(at, count.astype(np.float64)).astype(np.int64))], ["s1", "alone"])
+
+
+#: Counts that stand for a token that isn't counted, and below 0 for the size of a set (its token is the document then).
+UNCOUNTED = 1 << 30
+
+
+def _all_tokens(k: int, hot, n: int, counted: bool):
+    """Each token with the key of document and set, dealt by token (``counted``); or what needn't be counted, with a count, dealt by key."""
+
     def run(batches):
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0)
+            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy().view(np.uint64)
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], k)
-                frequent = [hot.value[(s >> np.uint64(64 - BITS)).astype(np.int64)] for s in sets]
-                keys = pa.array(_identity(sets))
-                for kind in (False, True):
-                    yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), keys, pa.array([len(s) for s in sets], pa.int32()), pa.array([kind] * (b - a)), _lists([s[f == kind] for s, f in zip(sets, frequent)])], ["doc", "key", "n", "hot", "tokens"])
+                keys = mix(mix(ids[a:b]) ^ _identity(sets).view(np.uint64))
+                size = np.array([len(s) for s in sets], dtype=np.int64)
+                tok, key = np.concatenate(sets), np.repeat(keys, size)
+                frequent = hot.value[(tok >> np.uint64(64 - BITS)).astype(np.int64)]
+                if counted:
+                    yield deal(_bucket(tok[~frequent], n), tok[~frequent], key[~frequent])
+                    continue
+                key, tok = np.concatenate([keys, key[frequent]]), np.concatenate([ids[a:b], tok[frequent]])
+                count = np.concatenate([-size, np.full(len(tok) - len(size), UNCOUNTED)])
+                yield deal(_bucket(mix(key), n), key, tok, count.view(np.uint64))
+
+    return run
+
+
+def _shared(n: int):
+    """From tokens with keys to the tokens that several keys have, with their number, dealt by key."""
+
+    def run(batches):
+        for _, (tok, key) in buckets(batches, 2):
+            order = np.argsort(tok)
+            tok, key = tok[order], key[order]
+            at = _runs(tok)
+            count = np.diff(np.append(at, len(tok)))
+            shared = np.repeat(np.minimum.reduceat(key, at) < np.maximum.reduceat(key, at), count)
+            count = np.repeat(count, count)[shared].astype(np.uint64)
+            yield deal(_bucket(mix(key[shared]), n), key[shared], tok[shared], count)
 
     return run
 
@@ -118,19 +175,29 @@ def choose_level(extra: np.ndarray, s: int, need: int, max_level: int) -> int:
 
 
 def _prefixes(num: int, den: int, max_level: int):
-    """Rows (doc, n, sorted structs of count and token shared with others) to those with level and places."""
+    """Per document and set that can have a partner: size, level, places of the prefix, tokens shared with others from rare to frequent."""
 
     def run(batches):
-        for batch in batches:
-            levels, places, lists = [], [], []
-            for n, held in zip(batch.column(1).to_pylist(), batch.column(2)):
-                fields = held.values
-                count, tok = fields.field(0).to_numpy(), fields.field(1).to_numpy()
-                need, alone = -(-num * n // den), n - len(tok)
-                levels.append(choose_level(np.concatenate([np.zeros(alone), count - 1.0]), n, need, max_level))
+        for _, (key, tok, count) in buckets(batches, 3):
+            order = np.lexsort((tok, count.view(np.int64), key))
+            key, tok, count = key[order], tok[order], count[order].view(np.int64)
+            at = _runs(key)
+            docs, sizes, levels, places, lists = [], [], [], [], []
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(key)]):
+                # the size comes first; more than once if several texts of the document have this set
+                n, first = -int(count[lo]), int(np.searchsorted(count[lo:hi], 0))
+                mine, seen = tok[lo + first : hi], count[lo + first : hi]
+                if first > 1 and len(mine):
+                    mine, seen = mine[_runs(mine)], seen[_runs(mine)]
+                if first == 0 or den * len(mine) < num * n:
+                    continue
+                need, alone = -(-num * n // den), n - len(mine)
+                docs.append(int(tok[lo].view(np.int64)))
+                sizes.append(n)
+                levels.append(choose_level(np.concatenate([np.zeros(alone), seen - 1.0]), n, need, max_level))
                 places.append(n - need + levels[-1] - alone)
-                lists.append(tok.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(levels, pa.int32()), pa.array(places, pa.int32()), _lists(lists)], ["doc", "n", "l", "places", "tokens"])
+                lists.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(levels, pa.int32()), pa.array(places, pa.int32()), _lists(lists)], ["doc", "n", "l", "places", "tokens"])
 
     return run
 
@@ -160,11 +227,7 @@ def _verify(k: int):
 
 def _only(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows of ``source`` whose doc_id is in ``wanted``; a filter of fixed size keeps most others from the shuffle."""
-    word, bit = F.expr(f"shiftright(xxhash64(doc_id) & {(1 << FILTER_BITS) - 1}, 6)"), F.expr("cast(xxhash64(doc_id) & 63 as int)")
-    words = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-    # at most 2**(FILTER_BITS - 6) rows of 16 bytes, whatever the corpus
-    likely = source.withColumn("word", word).join(F.broadcast(words), "word").filter(F.expr("shiftright(bits, cast(xxhash64(doc_id) & 63 as int)) & 1 = 1")).drop("word", "bits")
-    return likely.join(wanted.hint("merge"), "doc_id", "left_semi")
+    return likely(source, wanted, "doc_id").join(wanted.hint("merge"), "doc_id", "left_semi")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, max_level: int = 4, max_rounds: int = 4) -> DataFrame:
@@ -187,22 +250,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     frequent[often["bucket"].to_numpy(dtype=np.int64)] = True
     hot = spark.sparkContext.broadcast(frequent)
 
-    some = source.mapInArrow(_counted_share(k, num, den, hot), "s1 long, slack int, tokens array<long>").select(F.explode("tokens").alias("tok"), "s1", "slack")
-    on_list = Window.partitionBy("tok")
-    met = some.withColumn("other", F.min("s1").over(on_list) < F.max("s1").over(on_list)).filter("other or slack < 0")
-    open_sets = met.groupBy("s1").agg(F.countDistinct(F.when(F.col("other"), F.col("tok"))).alias("met"), F.max("slack").alias("slack")).filter("met > slack").select("s1")
-    sets = rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    wanted = cut(sets.join(open_sets, "s1").select(F.col("rep").alias("doc_id")).distinct())
-    texts = cut(_only(source, wanted).distinct())
-
-    spread = F.when(F.col("hot"), F.pmod(F.hash("doc"), F.lit(64))).otherwise(0)
-    every = texts.mapInArrow(_all_tokens(k, hot), "doc long, key long, n int, hot boolean, tokens array<long>").select(F.explode("tokens").alias("tok"), "doc", "key", "n", "hot")
-    on_list = Window.partitionBy("tok", spread)
-    counted = every.withColumn("many", F.when(F.col("hot"), F.lit(1 << 30)).otherwise(F.count(F.lit(1)).over(on_list))).withColumn("other", F.col("hot") | (F.min("doc").over(on_list) < F.max("doc").over(on_list))).filter("other")
-    held = counted.groupBy("doc", "key", "n").agg(F.sort_array(F.collect_list(F.struct(F.col("many").cast("long").alias("many"), "tok"))).alias("held")).filter(f"{den} * size(held) >= {num} * n").select("doc", "n", "held")
-    chosen = held.mapInArrow(_prefixes(num, den, max_level), "doc long, n int, l int, places int, tokens array<long>")
+    sets = cut(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = n_buckets(2 * total * (den - num) // den)
+    some = by_bucket(source.select("text").mapInArrow(_counted_share(k, num, den, hot, n), dealt_schema(2)))
+    alone = by_bucket(some.mapInArrow(_alone(n), dealt_schema(2))).mapInArrow(_totals, "s1 long, alone long")
+    # with a whole prefix of its own, a set has no partner
+    may = sets.join(alone, "s1", "left").filter(f"coalesce(alone, 0) < n - ({num} * n + {den} - 1) div {den} + 1")
+    wanted = cut(may.select(F.col("rep").alias("doc_id"), "n"))
+    total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    texts = cut(_only(source, wanted.select("doc_id").distinct()).distinct())
+
+    n = n_buckets(total)
+    counted = by_bucket(texts.mapInArrow(_all_tokens(k, hot, n, True), dealt_schema(2))).mapInArrow(_shared(n), dealt_schema(3))
+    others = texts.mapInArrow(_all_tokens(k, hot, n, False), dealt_schema(3))
+    chosen = by_bucket(counted.union(others)).mapInArrow(_prefixes(num, den, max_level), "doc long, n long, l int, places int, tokens array<long>")
     # every token shared with others, with its place; m bounds the overlap with anyone
-    full = cut(chosen.select("doc", F.col("n").cast("long").alias("n"), F.size("tokens").cast("long").alias("m"), "l", "places", F.posexplode("tokens").alias("at", "tok")).withColumn("pre", F.expr("at < places")).drop("places"))
+    full = cut(chosen.select("doc", "n", F.size("tokens").cast("long").alias("m"), "l", "places", F.posexplode("tokens").alias("at", "tok")).withColumn("pre", F.expr("at < places")).drop("places"))
     near = F.expr(f"{num} * greatest(n, pn) <= {den} * least(n, pn) and {num + den} * least(m, pm) >= {num} * (n + pn)")
     apart = F.expr("label <> plabel and (star is null or pstar is null or star <> pstar)")
     linking = f"{den} * o >= {num} * (na + nb - o)"
