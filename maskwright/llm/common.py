@@ -78,6 +78,15 @@ def likely(source: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return source.withColumn("_word", word).join(F.broadcast(words), "_word").filter(F.expr(f"shiftright(_bits, cast(xxhash64({key}) & 63 as int)) & 1 = 1")).drop("_word", "_bits")
 
 
+def bit_filter(wanted: DataFrame, key: str) -> np.ndarray:
+    """Whether a number whose last FILTER_BITS are i may be among the ``key`` (a long) of ``wanted``: an array of fixed size, for Python."""
+    low = wanted.select(F.expr(f"{key} & {(1 << FILTER_BITS) - 1}").alias("low"))
+    words = low.groupBy(F.expr("shiftright(low, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, dtype="<i8")
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+
+
 def in_keys(rows: DataFrame, wanted: DataFrame, keys: list[str], hot: F.Column) -> DataFrame:
     """The rows of ``rows`` whose ``keys`` are in ``wanted`` (distinct keys); those of ``wanted`` that are ``hot``,
     HOT_SHARE at most, are broadcast, so that no task gathers the rows of one of them."""
