@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ MULTS = _GEN.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _power: list[np.ndarray] = []
 
 
@@ -227,17 +228,26 @@ def scan_words(texts: list[str | None], lower: bool = True, detail: bool = False
     return words, first, line, np.concatenate(digits)
 
 
-def slices(texts: list[str | None], most: int = 1 << 21):
+def slices(texts: list[str | None], most: int = 1 << 19):
     """Ranges of rows of about ``most`` characters together; a longer text stands alone."""
-    at, chars = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > at and chars + n > most:
+    yield from _ranges([len(t) if t else 0 for t in texts], most)
+
+
+def _ranges(sizes: list[int], most: int):
+    at, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > most:
             yield at, i
-            at, chars = i, 0
-        chars += n
-    if at < len(texts):
-        yield at, len(texts)
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def parts(texts: pa.Array, most: int = 1 << 19):
+    """(first row, end row, texts) of about ``most`` bytes of a column: a batch never becomes Python strings as a whole."""
+    for a, b in _ranges(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most):
+        yield a, b, texts.slice(a, b - a).to_pylist()
 
 
 def shingle_sets(texts: list[str | None], k: int, lower: bool = True) -> list[np.ndarray]:

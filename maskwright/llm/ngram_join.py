@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import buckets, by_bucket, cut, deal, dealt_schema, likely, mix, n_buckets, shingle_sets, slices
+from maskwright.llm.common import buckets, by_bucket, cut, deal, dealt_schema, likely, mix, n_buckets, parts, shingle_sets
 from maskwright.llm.components import components
 
 #: Buckets of the statistic of frequent tokens, as bits; it has this size whatever the corpus.
@@ -55,9 +55,9 @@ def _profile(k: int):
         seen, rows = np.zeros(1 << BITS, dtype=np.int64), 0
         names = ["doc_id", "n", "s1", "s2", "bucket", "seen"]
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b], k)
+            ids = batch.column(0)
+            for a, b, texts in parts(batch.column(1)):
+                sets = shingle_sets(texts, k)
                 seen += np.bincount((np.concatenate(sets) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
                 rows += b - a
                 two = _identity([s ^ np.uint64(0xA5A5A5A5A5A5A5A5) for s in sets])
@@ -76,9 +76,8 @@ def _counted_share(k: int, num: int, den: int, hot, n: int):
     def run(batches):
         done = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b], k)
+            for _, _, texts in parts(batch.column(0)):
+                sets = shingle_sets(texts, k)
                 tokens, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
                 for key, s in zip(_identity(sets).tolist(), sets):
                     if len(s) and key not in done:
@@ -132,9 +131,9 @@ def _all_tokens(k: int, hot, n: int, counted: bool):
 
     def run(batches):
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_numpy().view(np.uint64)
-            for a, b in slices(texts):
-                sets = shingle_sets(texts[a:b], k)
+            ids = batch.column(0).to_numpy().view(np.uint64)
+            for a, b, texts in parts(batch.column(1)):
+                sets = shingle_sets(texts, k)
                 keys = mix(mix(ids[a:b]) ^ _identity(sets).view(np.uint64))
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 tok, key = np.concatenate(sets), np.repeat(keys, size)
@@ -208,13 +207,14 @@ def _verify(k: int):
     def run(batches):
         last, kept = None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+            a, b = (batch.column(i).to_pylist() for i in range(2))
             na, nb, both = [], [], []
-            for lo, hi in slices(ta, 1 << 20):
-                left = shingle_sets(ta[lo:hi], k)
+            for lo, hi, ta in parts(batch.column(2)):
+                left = shingle_sets(ta, k)
                 for i in range(lo, hi):
-                    if last is None or last != (b[i], tb[i]):
-                        last, kept = (b[i], tb[i]), shingle_sets([tb[i]], k)[0]
+                    tb = batch.column(3)[i].as_py()
+                    if last is None or last != (b[i], tb):
+                        last, kept = (b[i], tb), shingle_sets([tb], k)[0]
                     x = left[i - lo]
                     at = np.searchsorted(kept, x)
                     na.append(len(x))
