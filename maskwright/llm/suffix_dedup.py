@@ -1,11 +1,12 @@
 """Repeated passages by a sparse suffix array.
 
 Of each text only the suffixes at minimiser positions are kept: in every stretch of WINDOW consecutive K-word
-grams, the one of smallest hash. The choice follows content, so two texts that share a passage keep the same
-places of it. Suffixes are brought into order by their first HEAD words; those whose head no other document
-has are dropped. What is left covers a repeated passage of LEAST words or more except for up to WINDOW - 1
-words at either end. For those ends, suffixes are sorted once by what follows the head and once by what
-precedes it, neighbours are compared, and matches are extended right and left.
+grams, the one of smallest hash. The choice follows content, so two texts that share LEAST words keep the same
+place of them, with at least HEAD words to the right and up to SIDE to the left. Suffixes are ordered by their
+first HEAD words, by hash; those whose head no other document has are dropped. A suffix is then extended by SIDE
+words to the right and by SIDE words to the left, and compared with its like each time. Where both repeat, all
+LEAST-word windows around it do. Otherwise, and for all suffixes with the same head, every window of LEAST words
+around the head is compared: the ends of passages, and matches with different documents that only touch.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import MULTS, cut, mix, scan_words, slices, window_hash
+from maskwright.llm.common import HOT_SHARE, MULTS, buckets, by_bucket, cut, deal, dealt_schema, in_keys, mix, n_buckets, parts, scan_words, window_hash
 
 LEAST = 50
 K = 8
 WINDOW = 25
 #: Words of a suffix that must match: the first minimiser of a passage leaves so many of its LEAST words.
 HEAD = LEAST - (WINDOW - 1)
-_SIDE = WINDOW - 1
+SIDE = WINDOW - 1
+_TEXT = ["k1", "k2"]
 
 
 def minimisers(words: np.ndarray) -> np.ndarray:
@@ -39,13 +41,21 @@ def minimisers(words: np.ndarray) -> np.ndarray:
     return at[at + HEAD <= len(words)]
 
 
+def _windows(words: np.ndarray, at: np.ndarray, left: int) -> np.ndarray:
+    """Hash of the LEAST words that begin ``left`` words before each place; 0 where the text has no such window."""
+    start = at - left
+    inside = (start >= 0) & (start + LEAST <= len(words))
+    out = np.zeros(len(at), dtype=np.uint64)
+    out[inside] = window_hash(words, start[inside], LEAST)
+    return out
+
+
 def _sample(batches):
-    """Per text: 128-bit identity of its word sequence, number of words, minimiser positions and heads."""
+    """Per text: 128-bit identity of its word sequence, number of words; per minimiser its place, head and two windows."""
     for batch in batches:
-        texts = batch.column(2).to_pylist()
-        for a, b in slices(texts):
-            words, first = scan_words(texts[a:b], lower=False)
-            ones, twos, sizes, places, heads = [], [], [], [], []
+        for a, b, texts in parts(batch.column(3)):
+            words, first = scan_words(texts, lower=False)
+            ones, twos, sizes, found = [], [], [], [[] for _ in range(4)]
             for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
                 w = words[lo:hi]
                 at = minimisers(w)
@@ -54,133 +64,141 @@ def _sample(batches):
                 other = window_hash(mix(w), np.zeros(1, np.int64), len(w)) if len(w) else np.zeros(1, np.uint64)
                 ones.append(whole.view(np.int64)[0])
                 twos.append(other.view(np.int64)[0])
-                places.append(at.astype(np.int32))
-                heads.append(window_hash(w, at, HEAD).view(np.int64) if len(at) else np.zeros(0, np.int64))
-            off = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int32))
+                heads = window_hash(w, at, HEAD) if len(at) else np.zeros(0, np.uint64)
+                for column, values in zip(found, (at.astype(np.int32), heads.view(np.int64), _windows(w, at, 0).view(np.int64), _windows(w, at, SIDE).view(np.int64))):
+                    column.append(values)
+            off = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in found[0]])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(off, pa.array(np.concatenate(places))), pa.ListArray.from_arrays(off, pa.array(np.concatenate(heads)))],
-                ["doc_id", "rk", "f1", "f2", "n_words", "at", "head"],
+                [*[batch.column(i).slice(a, b - a) for i in range(3)], pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.array(sizes, pa.int64()), *[pa.ListArray.from_arrays(off, pa.array(np.concatenate(x))) for x in found]],
+                ["doc_id", "k1", "k2", "f1", "f2", "n_words", "at", "head", "right", "left"],
             )
 
 
-def _sides(batches):
-    """(row key, doc_id, text, places): for each place the head and the word hashes on either side, nearest first, 0 beyond the text."""
-    for batch in batches:
-        rks, ids, texts, places = (batch.column(i).to_pylist() for i in range(4))
-        for a, b in slices(texts):
-            words, first = scan_words(texts[a:b], lower=False)
-            rk, doc, pos, head, right, left = [], [], [], [], [], []
-            for i, lo, hi in zip(range(a, b), first[:-1].tolist(), first[1:].tolist()):
-                at = np.array(sorted(places[i]), dtype=np.int64)
-                short = ((words[lo:hi] >> np.uint64(32)) | np.uint64(1)).astype(">u4")
-                padded = np.concatenate([np.zeros(_SIDE, ">u4"), short, np.zeros(_SIDE, ">u4")])
-                step = np.arange(_SIDE)
-                after = padded[(at + _SIDE + HEAD)[:, None] + step]
-                before = padded[(at + _SIDE - 1)[:, None] - step]
-                rk += [rks[i]] * len(at)
-                doc += [ids[i]] * len(at)
-                pos.append(at)
-                head.append(window_hash(words[lo:hi], at, HEAD).view(np.int64))
-                right += [x.tobytes() for x in after]
-                left += [x.tobytes() for x in before]
-            yield pa.RecordBatch.from_arrays([pa.array(head and np.concatenate(head), pa.int64()), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(doc, pa.int64()), pa.array(rk, pa.int64()), pa.array(pos and np.concatenate(pos), pa.int32())], ["head", "right", "left", "doc_id", "rk", "at"])
-
-
-def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of each row of two tables of word hashes; 0 is the end of a text."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
-
-
-def _compare(batches):
-    """Sorted suffixes: what each matches of its neighbour of another document on either side, as (rk, start, stop).
-
-    Rows at the ends of a partition are passed on (stop null), to be compared with those of the next one.
-    """
-    held = None
-    ends: list[pa.Table] = []
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
-        n = rows.num_rows
-        if not n:
-            continue
-        head = rows["head"].to_numpy()
-        doc = rows["doc_id"].to_numpy()
-        at = rows["at"].to_numpy().astype(np.int64)
-        rk = rows["rk"].to_numpy()
-        right = np.frombuffer(b"".join(rows["right"].to_pylist()), ">u4").reshape(n, _SIDE)
-        left = np.frombuffer(b"".join(rows["left"].to_pylist()), ">u4").reshape(n, _SIDE)
-        start = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (head[1:] != head[:-1])]))
-        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
-        stop = np.append(start[1:], n)
-        out = []
-        for other in (start[run] - 1, stop[run]):
-            i = np.flatnonzero((other >= 0) & (other < n))
-            j = other[i]
-            ok = head[i] == head[j]
-            i, j = i[ok], j[ok]
-            out.append((rk[i], at[i] - common(left[i], left[j]), at[i] + HEAD + common(right[i], right[j])))
-        rks, lo, hi = (np.concatenate(x) for x in zip(*out))
-        yield pa.RecordBatch.from_arrays([pa.array(rks), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), *[pa.nulls(len(rks), t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())]], _COMPARED)
-        first = held is None
-        if first:
-            ends.append(rows.slice(0, int(stop[0]) + 1))
-        held = rows.slice(max(0, int(start[-1]) - 1))
-    if held is not None:
-        ends.append(held)
-        for x in ends:
-            x = x.combine_chunks()
-            m = x.num_rows
-            yield pa.RecordBatch.from_arrays([x["rk"].combine_chunks(), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), *[x[c].combine_chunks() for c in ("head", "right", "left", "doc_id", "at")]], _COMPARED)
-
-
-_COMPARED = ["rk", "start", "stop", "head", "right", "left", "doc_id", "at"]
-_COMPARED_SCHEMA = "rk long, start int, stop int, head long, right binary, left binary, doc_id long, at int"
-
-
-def _neighbours(sides: DataFrame, order: list[str]) -> DataFrame:
-    """(rk, start, stop) from comparing neighbours in a sort by ``order``, across partition borders too."""
-    n = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = sides.select("head", "right", "left", "doc_id", "rk", "at")
-    done = cut(columns.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_compare, _COMPARED_SCHEMA))
-    # a few rows for each partition, not for each document
-    ends = done.filter("stop is null").select("head", "right", "left", "doc_id", "rk", "at").coalesce(1).sortWithinPartitions(*order).mapInArrow(_compare, _COMPARED_SCHEMA)
-    return done.union(ends).filter("stop is not null").select("rk", "start", "stop")
-
-
-def repeated_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words), a row per maximal stretch of ``least`` words or more that other documents repeat.
-
-    Words are [^\\x20\\x09-\\x0D]+, compared exactly, by 64-bit hashes; positions count words from 0, end
-    exclusive. A stretch is what matches with other documents cover without a gap, each of HEAD words or
-    more; ``least`` is LEAST at the lowest. Repeats inside one document only don't count. Documents with
-    equal word sequences are repeats of each other over their whole length. Null, empty and short texts have
-    no span. Rows that repeat doc_id and text are one document; rows with one doc_id and different texts are
-    reported each, and don't make each other repeated. Other columns are ignored, an empty table gives none.
+_SAMPLE = "doc_id long, k1 long, k2 long, f1 long, f2 long, n_words long, at array<int>, head array<long>, right array<long>, left array<long>"
+
+
+def _bucket(x: np.ndarray, n: int) -> np.ndarray:
+    return ((x >> np.uint64(17)) % np.uint64(n)).astype(np.int64)
+
+
+def _in_two(order: np.ndarray, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For rows brought into the ``order`` of their keys: whether two documents have the row's key."""
+    key, doc = key[order], doc[order].view(np.int64)
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    return np.repeat(np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at), np.diff(np.append(at, len(key)))) if len(at) else new
+
+
+def _around(n: int):
+    """Rows (doc_id, k1, k2, text, places): all windows around the heads at these places, dealt by window (asked) or, where a slice of texts tells already that they repeat, by text."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            k1, k2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for a, b, texts in parts(batch.column(3)):
+                words, first = scan_words(texts, lower=False)
+                keys, starts, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, lo, hi in zip(range(a, b), first[:-1].tolist(), first[1:].tolist()):
+                    w, at = words[lo:hi], batch.column(4)[i].values.to_numpy().astype(np.int64)
+                    start = (at[:, None] - np.arange(SIDE + 1)).ravel()
+                    start = np.unique(start[(start >= 0) & (start + LEAST <= len(w))])
+                    keys.append(window_hash(w, start, LEAST) if len(start) else np.zeros(0, np.uint64))
+                    starts.append(start)
+                    rows.append(np.full(len(start), i))
+                key, start, row = np.concatenate(keys), np.concatenate(starts).view(np.uint64), np.concatenate(rows)
+                order = np.argsort(key)
+                known = _in_two(order, key, ids[row].view(np.uint64))
+                told, open_ = order[known], order[~known]
+                # of a window that repeats here, its first and last document stand for all
+                ends = np.flatnonzero(np.concatenate([[True], key[told][1:] != key[told][:-1]])) if len(told) else told
+                send = np.concatenate([open_, told[ends]])
+                for kind, at, columns in ((0, send, None), (1, told, None)):
+                    r = row[at]
+                    texts_of = (k1[r].view(np.uint64), k2[r].view(np.uint64), start[at], ids[r].view(np.uint64))
+                    dealt = deal(_bucket(key[at], n), key[at], *texts_of) if kind == 0 else deal(_bucket(mix(texts_of[0]), n), np.zeros(len(at), np.uint64), *texts_of)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(dealt.num_rows, kind, dtype=np.int32)), *dealt.columns], ["kind", *dealt.schema.names])
+
+    return run
+
+
+def _repeated(n: int):
+    """The windows of several documents, dealt by text."""
+
+    def run(batches):
+        for _, (key, k1, k2, start, doc) in buckets(batches, 5):
+            order = np.argsort(key)
+            hit = order[_in_two(order, key, doc)]
+            yield deal(_bucket(mix(k1[hit]), n), np.zeros(len(hit), np.uint64), k1[hit], k2[hit], start[hit], doc[hit])
+
+    return run
+
+
+def _stretches(batches):
+    """The stretches that the windows of a text cover, one text after the other."""
+    for _, (_, k1, k2, start, doc) in buckets(batches, 5):
+        start = start.view(np.int64)
+        order = np.lexsort((start, k2, k1))
+        k1, k2, start, doc = k1[order], k2[order], start[order], doc[order]
+        new = np.ones(len(k1), dtype=bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (start[1:] > start[:-1] + LEAST)
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(k1)) - 1
+        yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (doc, k1, k2)], pa.array(start[at].astype(np.int32)), pa.array((start[last] + LEAST).astype(np.int32))], ["doc_id", "k1", "k2", "start", "stop"])
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words), a row per maximal stretch that windows of LEAST words cover which another document has too.
+
+    Words are [^\\x20\\x09-\\x0D]+, compared exactly, by 64-bit hashes, a window also by that of its LEAST words;
+    positions count words from 0, end exclusive. Windows that overlap or touch are one stretch, whichever documents
+    they are found in; shorter matches don't add up. Repeats inside one document only don't count. Documents with
+    equal word sequences of LEAST words or more are repeats of each other over their whole length. Null, empty and
+    short texts have no span. Rows that repeat doc_id and text are one document; rows with one doc_id and different
+    texts are reported each, and don't make each other repeated; rows without doc_id are left out. Other columns are
+    ignored, an empty table gives none. Texts are told apart by 128-bit hashes.
     """
-    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("rk"), F.col("text").cast("string").alias("text"))
-    sample = cut(base.mapInArrow(_sample, "doc_id long, rk long, f1 long, f2 long, n_words long, at array<int>, head array<long>"))
-    long_ones = sample.filter(F.col("n_words") >= max(least, LEAST))
-    groups = long_ones.groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("rk").alias("rep"))
-    copies = long_ones.join(groups.filter("low < high").select("f1", "f2", "n_words"), ["f1", "f2", "n_words"]).select("doc_id", "rk", F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop"))
+    text = F.col("text").cast("string")
+    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(5), "doc_id", text).alias("k2"), text.alias("text"))
+    sample = cut(base.mapInArrow(_sample, _SAMPLE))
+    long_ones = sample.filter(F.col("n_words") >= LEAST)
+    same = ["f1", "f2", "n_words"]
+    groups = cut(long_ones.groupBy(*same).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct(*_TEXT)).alias("rep"), F.count("*").alias("rows")))
+    n_rows = groups.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    copies = in_keys(long_ones.select(*same, "doc_id", *_TEXT), groups.filter("low < high"), same, F.col("rows") * HOT_SHARE > F.lit(n_rows))
+    copies = copies.select("doc_id", *_TEXT, F.lit(0).alias("start"), F.col("n_words").cast("int").alias("stop")).distinct()
 
     # one text of each group of equal ones stands for it
-    single = long_ones.join(groups.select(F.col("rep").alias("rk")), "rk", "left_semi").dropDuplicates(["rk"])
-    suffixes = single.select("doc_id", "rk", F.posexplode(F.arrays_zip("at", "head")).alias("no", "x")).select("doc_id", "rk", "no", "x.at", "x.head")
-    heads = suffixes.groupBy("head").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("head")
-    kept = cut(suffixes.join(heads, "head"))
-    order = Window.partitionBy("rk").orderBy("no")
-    edge = (F.coalesce(F.lag("no").over(order), F.lit(-2)) != F.col("no") - 1) | (F.coalesce(F.lead("no").over(order), F.lit(-2)) != F.col("no") + 1)
-    edges = kept.withColumn("edge", edge).filter("edge").select("head").distinct()
-    wanted = kept.join(edges, "head", "left_semi").groupBy("rk", "doc_id").agg(F.collect_list("at").alias("places"))
-    sides = cut(base.dropDuplicates(["rk"]).select("rk", "text").join(wanted, "rk").select("rk", "doc_id", "text", "places").mapInArrow(_sides, "head long, right binary, left binary, doc_id long, rk long, at int"))
-    grown = _neighbours(sides, ["head", "right", "left", "doc_id", "at"]).union(_neighbours(sides, ["head", "left", "right", "doc_id", "at"]))
-    owner = kept.select("rk", "doc_id").distinct()
-    found = kept.select("doc_id", "rk", F.col("at").alias("start"), (F.col("at") + HEAD).alias("stop")).union(grown.join(owner, "rk").select("doc_id", "rk", "start", "stop")).union(copies)
-
-    w = Window.partitionBy("rk").orderBy("start", "stop")
+    reps = groups.select("rep.k1", "rep.k2")
+    single = long_ones.join(reps, _TEXT, "left_semi").select("doc_id", *_TEXT, "at", "head", "right", "left").dropDuplicates(_TEXT)
+    suffixes = single.select("doc_id", *_TEXT, F.explode(F.arrays_zip("at", "head", "right", "left")).alias("x")).select("doc_id", *_TEXT, "x.*")
+
+    def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """The rows whose ``keys`` another document has too."""
+        counted = cut(rows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("rows")).filter("low < high"))
+        total = counted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        return in_keys(rows, counted, keys, F.col("rows") * HOT_SHARE > F.lit(total))
+
+    place = [*_TEXT, "at"]
+    kept = cut(shared(suffixes, ["head"]))
+    right = cut(shared(kept.filter("right <> 0").select("doc_id", *place, "head", "right"), ["head", "right"]).select("doc_id", *place))
+    left = cut(shared(kept.filter("left <> 0").select("doc_id", *place, "head", "left"), ["head", "left"]).select("doc_id", *place))
+    edges = kept.join(right.select(*place).intersect(left.select(*place)), place, "left_anti").select("head").distinct()
+    edges = cut(kept.groupBy("head").agg(F.count("*").alias("rows")).join(edges, "head", "left_semi"))
+    total = edges.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    wanted = in_keys(kept.select("doc_id", *place, "head"), edges, ["head"], F.col("rows") * HOT_SHARE > F.lit(total)).groupBy("doc_id", *_TEXT).agg(F.collect_list("at").alias("places"))
+    n = n_buckets(total * (SIDE + 1))
+    texts = base.join(wanted.drop("doc_id"), _TEXT).select("doc_id", *_TEXT, "text", "places").dropDuplicates(_TEXT)
+    dealt = cut(texts.mapInArrow(_around(n), "kind int, " + dealt_schema(5)))
+    asked = by_bucket(dealt.filter("kind = 0").drop("kind")).mapInArrow(_repeated(n), dealt_schema(5))
+    spans = "doc_id long, k1 long, k2 long, start int, stop int"
+    around = by_bucket(asked.union(dealt.filter("kind = 1").drop("kind"))).mapInArrow(_stretches, spans)
+    found = around.union(right.select("doc_id", *_TEXT, F.col("at").alias("start"), (F.col("at") + LEAST).alias("stop")))
+    found = found.union(left.select("doc_id", *_TEXT, (F.col("at") - SIDE).alias("start"), (F.col("at") + HEAD).alias("stop"))).union(copies)
+
+    w = Window.partitionBy(*_TEXT).orderBy("start", "stop")
     fresh = (F.col("start") > F.coalesce(F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
     pieces = found.withColumn("fresh", fresh).withColumn("piece", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = pieces.groupBy("doc_id", "rk", "piece").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"))
-    return spans.select("doc_id", F.col("start_word").cast("long").alias("start_word"), F.col("end_word").cast("long").alias("end_word"), (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words")).filter(F.col("n_words") >= max(least, LEAST))
+    merged = pieces.groupBy("doc_id", *_TEXT, "piece").agg(F.min("start").cast("long").alias("start_word"), F.max("stop").cast("long").alias("end_word"))
+    return merged.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))

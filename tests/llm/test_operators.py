@@ -144,19 +144,49 @@ def test_mixing(spark, docs):
     assert mixing.schedule(empty(spark)).count() == 0
 
 
-def test_spans_of_repeats(spark, docs):
-    rows = [(i, SPLIT.findall(t or "")) for i, t, *_ in corpus() if i is not None]
+def repeated_words(rows):
+    """(doc_id, row, place) of every word in a 50-word window that another document has."""
     seen = defaultdict(set)
     for i, w in rows:
         for j in range(len(w) - 49):
             seen[tuple(w[j : j + 50])].add(i)
-    want = {(i, p) for i, w in rows for j in range(len(w) - 49) if len(seen[tuple(w[j : j + 50])]) > 1 for p in range(j, j + 50)}
-    found = suffix_dedup.repeated_spans(docs).collect()
-    got = {(r["doc_id"], p) for r in found for p in range(r["start_word"], r["end_word"])}
-    assert want <= got and {i for i, _ in got} == {i for i, _ in want}
+    return {(i, no, p) for no, (i, w) in enumerate(rows) for j in range(len(w) - 49) if len(seen[tuple(w[j : j + 50])]) > 1 for p in range(j, j + 50)}
+
+
+def pieces(rows):
+    """Each row's stretches of repeated words."""
+    found = repeated_words(rows)
+    return Counter((i, p, next(q for q in itertools.count(p) if (i, no, q) not in found)) for i, no, p in found if (i, no, p - 1) not in found)
+
+
+def test_spans_of_repeats(spark, docs):
+    rows = [(i, SPLIT.findall(t or "")) for i, t, *_ in dict.fromkeys(corpus()) if i is not None]
+    rows = list({(i, tuple(w)): (i, w) for i, w in rows}.values())
+    got = Counter((r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeated_spans(docs).collect())
+    assert got == pieces(rows)
     assert suffix_dedup.repeated_spans(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_matches_that_only_touch(spark, seed):
+    """Passages of 40 to 70 words, each shared with some documents, side by side, cut off and edited."""
+    r = random.Random(seed)
+    passages = [words(r.randrange(40, 71), 7000 + 100 * seed + i) for i in range(14)]
+    rows = []
+    for i in range(60):
+        text = words(r.randrange(0, 30), 8000 + 100 * seed + i)
+        for _ in range(r.randrange(1, 4)):
+            x = list(r.choice(passages))
+            lo, hi = (0, len(x)) if r.random() < 0.6 else sorted(r.sample(range(len(x) + 1), 2))
+            if r.random() < 0.3:
+                x[r.randrange(len(x))] = f"edit{r.randrange(3)}"
+            text += x[lo:hi] + words(r.choice([0, 0, 12]), 9000 + r.randrange(10**6))
+        rows.append((i, text))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(4)
+    got = Counter((x["doc_id"], x["start_word"], x["end_word"]) for x in suffix_dedup.repeated_spans(docs).collect())
+    assert got == pieces(rows) and len(got) > 20
+
+
 def secrets_of(t):
     found = []
     for no, (kind, pattern, group, least) in enumerate((("assign", secret_scan.ASSIGN, 2, 8), ("access", secret_scan.ACCESS, 0, 16), ("hex", r"[0-9a-f]+", 0, 32))):
