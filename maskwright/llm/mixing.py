@@ -9,55 +9,65 @@ budget, and each block holds every source in its weight. DataFrame functions onl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import cut
+from maskwright.llm.common import HOT_SHARE, cut
 from maskwright.llm.quality_rules import words_of
 
+#: Halvings of a bisection, and how many of them one pass over the sources makes.
 STEPS = 50
+AT_ONCE = 6
 
 
-def solve_exponent(shares: F.Column, entropy_fraction: float, max_repeat: float, steps: int = STEPS) -> F.Column:
-    """The exponent for an array of positive shares that sum to 1, as a column.
+def bisect(good, steps: int = STEPS) -> float:
+    """The largest a in [0, 1] that ``good`` holds for, to 2**-steps from below, if it holds at 0 and up to some a.
 
-    Largest a in [0, 1] whose entropy reaches ``entropy_fraction`` of the uniform one, but no smaller than the
-    least a under which no source is repeated more than ``max_repeat`` times.
+    ``good`` takes the list of the inner points that the next halvings could visit and tells which hold.
     """
+    if good([1.0])[0]:
+        return 1.0
+    low, width, left = 0.0, 1.0, steps
+    while left:
+        n = 1 << min(AT_ONCE, left)
+        left -= min(AT_ONCE, left)
+        width /= n
+        low += width * sum(good([low + width * i for i in range(1, n)]))
+    return low
 
-    def entropy(a):
-        powers = F.transform(shares, lambda p: F.pow(p, a))
-        total = F.aggregate(powers, F.lit(0.0), lambda x, y: x + y)
-        return F.aggregate(powers, F.lit(0.0), lambda x, y: x + y * F.ln(y)) / -total + F.ln(total)
 
-    def bisect(low_is_good, good):
-        """low_is_good: the condition holds at 0; else it holds at 1. The bound nearest to where it ends."""
-        start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+def solve_exponent(totals: DataFrame, entropy_fraction: float, max_repeat: float) -> tuple[float, int, int]:
+    """(exponent, all tokens, tokens of the largest source) for ``totals`` (src, tokens).
 
-        def step(s, _):
-            mid = (s["lo"] + s["hi"]) / 2
-            ok = good(mid)
-            return F.struct(F.when(ok if low_is_good else ~ok, mid).otherwise(s["lo"]).alias("lo"), F.when(ok if low_is_good else ~ok, s["hi"]).otherwise(mid).alias("hi"))
+    Largest a in [0, 1] whose entropy reaches ``entropy_fraction`` of the uniform one, but no smaller than the
+    least a under which no source is repeated more than ``max_repeat`` times. Each pass brings one row of sums to the
+    driver, however many sources there are. Without a token in any source the exponent is 1.
+    """
+    some = totals.filter("tokens > 0")
+    n, whole, least, most = some.agg(F.count("*"), F.sum("tokens"), F.min("tokens"), F.max("tokens")).first()
+    if not n:
+        return 1.0, 1, 1
+    share = F.col("tokens") / F.lit(float(whole))
 
-        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["lo"] if low_is_good else s["hi"])
+    def even_enough(points):
+        power = [F.pow(share, F.lit(a)) for a in points]
+        sums = some.agg(*[F.sum(p) for p in power], *[F.sum(p * F.ln(p)) for p in power]).first()
+        return [math.log(x) - y / x >= entropy_fraction * math.log(n) for x, y in zip(sums[: len(points)], sums[len(points) :])]
 
-    least, most = F.array_min(shares), F.array_max(shares)
-    target = F.lit(entropy_fraction) * F.ln(F.size(shares).cast("double"))
-    a_entropy = F.when(entropy(F.lit(1.0)) >= target, F.lit(1.0)).otherwise(bisect(True, lambda a: entropy(a) >= target))
-    a_repeat = F.when(F.pow(least / most, F.lit(-1.0)) <= max_repeat, F.lit(0.0)).otherwise(bisect(False, lambda a: F.pow(least / most, a - 1) <= max_repeat))
-    return F.greatest(a_entropy, a_repeat)
+    # 1 - a is what the repetition limit bounds from above
+    seldom = 1.0 - bisect(lambda points: [(most / least) ** x <= max_repeat for x in points])
+    return max(bisect(even_enough), seldom), int(whole), int(most)
 
 
 def source_plan(rows: DataFrame, entropy_fraction: float, max_repeat: float, block_tokens: int) -> DataFrame:
     """One row per source: src, tokens, docs, exponent, weight, epochs, budget (tokens), n_blocks. ``rows``: src, n_tokens."""
-    totals = rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
-    # one number per source, not per document; what comes back is a single row
-    whole = totals.filter("tokens > 0").agg(F.sum("tokens").cast("double").alias("all_tokens"), F.array_sort(F.collect_list("tokens")).alias("each"))
-    solved = whole.filter("all_tokens > 0").select("all_tokens", F.transform("each", lambda t: t / F.col("all_tokens")).alias("shares")).withColumn("exponent", solve_exponent(F.col("shares"), entropy_fraction, max_repeat))
-    top = solved.select("all_tokens", F.array_max("shares").alias("top"), "exponent", F.aggregate(F.transform("shares", lambda p: F.pow(p, F.col("exponent"))), F.lit(0.0), lambda x, y: x + y).alias("norm")).first()
-    top = top or {"all_tokens": 1.0, "top": 1.0, "exponent": 1.0, "norm": 1.0}  # no source has a token
-    share, a = F.col("tokens") / F.lit(top["all_tokens"]), F.lit(top["exponent"])
-    out = totals.withColumns({"exponent": a, "epochs": F.when(F.col("tokens") > 0, F.pow(share / F.lit(top["top"]), a - 1)).otherwise(F.lit(1.0)), "weight": F.when(F.col("tokens") > 0, F.pow(share, a) / F.lit(top["norm"])).otherwise(F.lit(0.0))})
+    totals = cut(rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
+    exponent, whole, most = solve_exponent(totals, entropy_fraction, max_repeat)
+    share, top, a = F.col("tokens") / F.lit(float(whole)), F.lit(most / whole), F.lit(exponent)
+    norm = totals.filter("tokens > 0").agg(F.sum(F.pow(share, a))).first()[0] or 1.0
+    out = totals.withColumns({"exponent": a, "epochs": F.when(F.col("tokens") > 0, F.pow(share / top, a - 1)).otherwise(F.lit(1.0)), "weight": F.when(F.col("tokens") > 0, F.pow(share, a) / F.lit(norm)).otherwise(F.lit(0.0))})
     out = out.withColumn("budget", F.floor(F.col("tokens") * F.col("epochs")).cast("long"))
     run = out.agg(F.coalesce(F.sum("budget"), F.lit(0))).first()[0]
     return out.withColumn("n_blocks", F.lit(max(1, -(-run // block_tokens))).cast("long"))
@@ -77,8 +87,11 @@ def schedule(docs: DataFrame, entropy_fraction: float = 0.95, max_repeat: float
     """
     rows = cut(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("src"), F.size(words_of(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens")))
     plan = cut(source_plan(rows, entropy_fraction, max_repeat, block_tokens))
-    small = len(plan.limit(10_001).select(F.lit(1)).tail(10_001)) <= 10_000
-    placed = rows.join(F.broadcast(plan) if small else plan, "src").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil("epochs").cast("long") - 1)))
+    # the plan's hot sources, HOT_SHARE at most, are broadcast
+    hot = F.col("docs") * HOT_SHARE > F.lit(rows.count())
+    few = F.broadcast(plan.filter(hot))
+    rest = rows.join(few.select("src"), "src", "left_anti").join(plan.filter(~hot).hint("merge"), "src")
+    placed = rows.join(few, "src").unionByName(rest).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil("epochs").cast("long") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string")).cast("binary"))
     ranges = F.ceil(F.sqrt(F.col("docs").cast("double"))).cast("long")
     placed = placed.withColumn("key", key).withColumn("range", F.floor(F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(16**12) * ranges).cast("long"))
@@ -92,10 +105,19 @@ def schedule(docs: DataFrame, entropy_fraction: float = 0.95, max_repeat: float
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the run reads them: every row once for each of its copies, columns unchanged.
+    """``docs`` as the run reads them: every row once for each of its copies, columns unchanged whatever they are called.
 
     The schedule is made of ids and counts alone; texts cross the network once, to meet their number of copies.
+    Rows of one doc_id, repeated or not, have the copies of the one with most. Those of a hot doc_id (a null one,
+    say) meet it by broadcast.
     """
-    copies = schedule(docs, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.count_distinct("epoch").cast("int").alias("_copies"))
-    each = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return each.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    copies = schedule(docs, **how).groupBy("doc_id").agg(F.count_distinct("epoch").cast("int").alias("copies"), F.count("*").alias("rows"))
+    copies = cut(copies.withColumnRenamed("doc_id", "id"))
+    total = copies.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    hot = F.col("rows") * HOT_SHARE > F.lit(total)
+    plain, meets = docs.toDF(*own.values()), F.col(own["doc_id"]).eqNullSafe(F.col("id"))
+    few = F.broadcast(copies.filter(hot))
+    rest = plain.join(few, meets, "left_anti").join(copies.filter(~hot).hint("merge"), meets)
+    each = plain.join(few, meets).unionByName(rest)
+    return each.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*[F.col(c).alias(n) for n, c in own.items()])

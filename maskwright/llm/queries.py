@@ -12,6 +12,8 @@ from maskwright.llm.common import table
 
 #: Where the public tokenizer lies; a parameter of the operator.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Share of the uniform entropy that the mixing query asks for: near enough to 1 that sources are repeated.
+MIX_ENTROPY = 0.998
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def op6_block_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.schedule(table(spark, sf_dir, "documents"))
+    rows = mixing.schedule(table(spark, sf_dir, "documents"), entropy_fraction=MIX_ENTROPY)
     return rows.select("doc_id", "src", "epoch", "n_tokens", "block_no", "order_key", F.round("weight", 6).alias("weight"))
 
 
@@ -116,12 +118,12 @@ s AS (SELECT src, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY src),
 sh AS (SELECT list(tokens / total ORDER BY tokens) AS p FROM (SELECT CAST(tokens AS DOUBLE) AS tokens, CAST(sum(tokens) OVER () AS DOUBLE) AS total FROM s WHERE tokens > 0)),
 ent(k, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
   SELECT k + 1, CASE WHEN ok THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ok THEN hi ELSE (lo + hi) / 2 END FROM (
-    SELECT k, lo, hi, ln(list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2)))) - list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2) * ln(pow(x, (lo + hi) / 2)))) / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))) >= 0.95 * ln(len(p)) AS ok
+    SELECT k, lo, hi, ln(list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2)))) - list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2) * ln(pow(x, (lo + hi) / 2)))) / list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))) >= {MIX_ENTROPY} * ln(len(p)) AS ok
     FROM ent, sh WHERE k < 50)),
 rep(k, lo, hi) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) UNION ALL
   SELECT k + 1, CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END, CASE WHEN ok THEN (lo + hi) / 2 ELSE hi END FROM (
     SELECT k, lo, hi, pow(list_min(p) / list_max(p), (lo + hi) / 2 - 1) <= 4 AS ok FROM rep, sh WHERE k < 50)),
-a AS (SELECT greatest(CASE WHEN list_sum(list_transform(p, lambda x: -x * ln(x))) >= 0.95 * ln(len(p)) THEN 1 ELSE (SELECT lo FROM ent WHERE k = 50) END,
+a AS (SELECT greatest(CASE WHEN list_sum(list_transform(p, lambda x: -x * ln(x))) >= {MIX_ENTROPY} * ln(len(p)) THEN 1 ELSE (SELECT lo FROM ent WHERE k = 50) END,
   CASE WHEN pow(list_min(p) / list_max(p), -1) <= 4 THEN 0 ELSE (SELECT hi FROM rep WHERE k = 50) END) AS a, p FROM sh),
 plan AS (SELECT src, tokens, CASE WHEN tokens > 0 THEN pow(tokens / total / list_max(p), a - 1) ELSE 1 END AS epochs,
   CASE WHEN tokens > 0 THEN pow(tokens / total, a) / list_sum(list_transform(p, lambda x: pow(x, a))) ELSE 0 END AS weight FROM (SELECT *, CAST(sum(tokens) OVER () AS DOUBLE) AS total FROM s), a),
