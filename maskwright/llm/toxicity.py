@@ -3,8 +3,9 @@
 Terms are a document's distinct words and five-letter word beginnings, hashed into 2**BITS places. The score
 is the logistic of a bias, a weight for each present term and, for each pair of present terms, the inner
 product of their factors, so that combinations count beyond the sum of their parts. It is fitted by AdaGrad
-on a bounded sample of labelled rows; terms that the sample doesn't show to be tied to the label are left out,
-so that a long text doesn't drown the few terms that matter.
+on a bounded sample of labelled rows; terms that the sample doesn't show to be tied to the label, by themselves or
+in a pair whose rate of the label is far from what its two terms let expect, are left out, so that a long text doesn't
+drown the few terms that matter.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from maskwright.llm.common import cut
+from maskwright.llm.common import cut, parts
 
 BITS = 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -77,6 +78,40 @@ def select_terms(with_1: np.ndarray, with_0: np.ndarray, n1: float, n0: float, l
     return np.flatnonzero((with_1 + with_0 >= least_rows) & (np.abs(z) >= least_z))
 
 
+#: A pair is looked at if either term is in one of PAIR_SHARE rows of the sample, so the work is bounded with it.
+PAIR_SHARE = 50
+PAIR_Z = 7.0
+_TERMS, _ROWS = 512, 1000
+
+
+def paired_terms(terms: np.ndarray, ends: np.ndarray, y: np.ndarray, n_terms: int, block: int, least_z: float = PAIR_Z) -> np.ndarray:
+    """Terms (0 to n_terms - 1) that a term of one block of _TERMS has an interaction with, and these.
+
+    Row i has the terms[ends[i]:ends[i + 1]]. The log-odds of the label add up over the terms of a pair if they don't
+    interact; a pair counts if its rows differ from that by ``least_z`` standard errors.
+    """
+    lo, hi = block * _TERMS, min(n_terms, (block + 1) * _TERMS)
+    both, with_1 = np.zeros((hi - lo, n_terms), np.float32), np.zeros((hi - lo, n_terms), np.float32)
+    for at in range(0, len(y), _ROWS):
+        part = slice(at, min(at + _ROWS, len(y)))
+        size = ends[part.start : part.stop + 1]
+        x = np.zeros((len(size) - 1, n_terms), np.float32)
+        x[np.repeat(np.arange(len(size) - 1), np.diff(size)), terms[size[0] : size[-1]]] = 1
+        toxic = y[part] == 1
+        with_1 += x[toxic][:, lo:hi].T @ x[toxic]
+        both += x[:, lo:hi].T @ x
+    n = np.bincount(terms, minlength=n_terms)
+    n1 = np.bincount(terms[np.repeat(y == 1, np.diff(ends))], minlength=n_terms)
+    odds = np.log((n1 + 0.5) / (n - n1 + 0.5))
+    base = np.log((y.sum() + 0.5) / ((y == 0).sum() + 0.5))
+    e = 1 / (1 + np.exp(-(odds[lo:hi, None] + odds[None, :] - base)))
+    enough = both * np.minimum(e, 1 - e) >= 5
+    z = np.where(enough, (with_1 - both * e) / np.sqrt(np.maximum(both * e * (1 - e), 1e-9)), 0)
+    z[np.arange(hi - lo), np.arange(lo, hi)] = 0
+    one, two = np.nonzero(np.abs(z) >= least_z)
+    return np.unique(np.concatenate([one + lo, two]))
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, factors: int = 4, epochs: int = 40, rate: float = 0.1, decay: float = 1e-4, least_rows: int = 5, least_z: float = 4.0, seed: int = 7, index: np.ndarray | None = None) -> Machine:
     """A machine for rows of term places and 0/1 labels; rows of one label only give a constant score.
 
@@ -155,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: dict[int, int] | None =
     for label, n in most.items():
         part = known.filter(F.col("toxic") == label).sort(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.union(part)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
+    # rows of one doc_id are one row of the sample, so it keeps its bound; of different texts the first in order is read
+    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sample = cut(sample.mapInArrow(_featurise, "doc_id long, toxic int, places array<int>"))
     sizes = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n1, n0 = float(sizes[0]), float(sizes[1] - sizes[0])
@@ -164,34 +200,72 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: dict[int, int] | None =
     counted = sample.select("toxic", F.explode("places").alias("place")).groupBy("place").agg(F.sum("toxic").alias("with_1"), F.count("*").alias("rows"))
     counted = counted.filter(F.col("rows") >= least.get("least_rows", 5)).sort("place").toArrow()
     with_1, both = (counted.column(c).to_numpy().astype(np.float64) for c in ("with_1", "rows"))
-    index = counted.column("place").to_numpy()[select_terms(with_1, both - with_1, n1, n0, **least)].astype(np.int32)
+    places = counted.column("place").to_numpy()
+    alone = places[select_terms(with_1, both - with_1, n1, n0, **least)]
+    common = places[both * PAIR_SHARE >= n1 + n0].astype(np.int32)
+    index = np.union1d(alone, common[_interacting(sample, common)]).astype(np.int32) if n1 and n0 else alone.astype(np.int32)
     held = docs.sparkSession.sparkContext.broadcast(index)
     found = sample.mapInArrow(lambda batches: _keep_terms(batches, held.value), "doc_id long, toxic int, places array<int>").toArrow().combine_chunks()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
-    lists = found.column("places").combine_chunks()
-    flat, offsets = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    flat, offsets = _flat(found.column("places"))
     return fit([flat[offsets[i] : offsets[i + 1]] for i in order], found.column("toxic").to_numpy()[order], index=index, **how)
 
 
-def score_docs(docs: DataFrame, model: Machine) -> DataFrame:
-    """``docs`` with a column score (double, 0 to 1, higher: likelier toxic).
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    lists = lists.combine_chunks()
+    return lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+
+
+def _interacting(sample: DataFrame, common: np.ndarray) -> np.ndarray:
+    """Positions in ``common`` of the terms with an interaction: a block of terms a task, the bounded sample with each."""
+    if not len(common):
+        return np.zeros(0, np.int64)
+    spark = sample.sparkSession
+    held = spark.sparkContext.broadcast(common)
+    rows = sample.mapInArrow(lambda batches: _keep_terms(batches, held.value), "doc_id long, toxic int, places array<int>").toArrow().combine_chunks()
+    flat, ends = _flat(rows.column("places"))
+    data = spark.sparkContext.broadcast((np.searchsorted(common, flat).astype(np.int32), ends, rows.column("toxic").to_numpy()))
+    n = len(common)
+
+    def run(batches):
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(paired_terms(*data.value, n, block))], ["term"])
+
+    blocks = -(-n // _TERMS)
+    # at most the terms themselves for each block
+    found = spark.range(0, blocks, 1, blocks).mapInArrow(run, "term long").distinct().toArrow()
+    return np.sort(found.column("term").to_numpy())
+
 
-    Every whole text is scored; a null or empty one gets the bias alone. Nothing but the text is read.
+def score_docs(docs: DataFrame, model: Machine) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with a column score (double, 0 to 1, higher: likelier toxic), and the names that its own columns have there.
+
+    Every whole text is scored, repeated rows alike; a null or empty one gets the bias alone. Nothing but the text
+    is read. The columns get new names, so that none of them can clash.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run(batches, text):
         machine = held.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([machine.score(terms(t)) for t in texts], pa.float64())], [*batch.schema.names, "_score"])
+            scores = [machine.score(terms(t)) for _, _, some in parts(batch.column(batch.schema.get_field_index(text))) for t in some]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+
+    own = {f.name: f"_c{i}" for i, f in enumerate(docs.schema.fields)}
+    schema = StructType([*[StructField(own[f.name], f.dataType) for f in docs.schema.fields], StructField("score", DoubleType())])
+    return docs.toDF(*own.values()).mapInArrow(lambda batches: run(batches, own["text"]), schema), own
+
 
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
-    return docs.mapInArrow(run, schema).withColumnRenamed("_score", "score")
+def drop_toxic(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows whose score reaches the threshold; columns unchanged whatever they are called."""
+    scored, own = score_docs(docs, model)
+    return scored.filter(F.col("score") < threshold).select(*[F.col(c).alias(n) for n, c in own.items()])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted. An empty ``docs`` or no labels score by the bias of what there is."""
     model = train(docs, labels, **how)
-    scored = score_docs(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
+    scored, own = score_docs(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
+    scored = scored.withColumnRenamed(own["doc_id"], "doc_id")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

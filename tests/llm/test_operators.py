@@ -2,12 +2,14 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,16 +134,61 @@ def test_exact_groups(spark, docs):
     assert block_names.exact_groups(empty(spark)).count() == 0
 
 
-def test_mixing(spark, docs):
-    out = mixing.schedule(docs, max_repeat=3.0, block_tokens=500).collect()
-    assert {r["doc_id"] for r in out} == {r[0] for r in corpus()}
-    weights = {r["src"]: r["weight"] for r in out}
-    assert abs(sum(weights.values()) - 1) < 1e-9
-    per = Counter((r["doc_id"], r["epoch"]) for r in out)
-    assert max(e for _, e in per) <= 2
-    assert Counter(r["doc_id"] for r in mixing.mix(docs, max_repeat=3.0, block_tokens=500).collect())[20] == sum(n for (d, _), n in per.items() if d == 20)
-    assert mixing.mix(docs).columns == docs.columns
-    assert mixing.schedule(empty(spark)).count() == 0
+def plain_schedule(rows, entropy, most_repeat, block_tokens):
+    """(doc_id, epoch, block) of every copy, the exponent, and each source's budget."""
+    rows = [(i, s or "", len(SPLIT.findall(t or ""))) for i, t, _, s, _ in rows]
+    tokens = Counter()
+    for _, s, n in rows:
+        tokens[s] += n
+    whole, top, least = sum(tokens.values()), max(tokens.values()), min(v for v in tokens.values() if v)
+
+    def even(a):
+        p = [(v / whole) ** a for v in tokens.values() if v]
+        return -sum(x / sum(p) * math.log(x / sum(p)) for x in p) >= entropy * math.log(len(p))
+
+    def solve(good, lo, hi):
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if good(mid) else (lo, mid)
+        return lo, hi
+
+    a = 1.0 if even(1) else solve(even, 0.0, 1.0)[0]
+    if (top / least) > most_repeat:
+        a = max(a, solve(lambda x: (top / least) ** (1 - x) > most_repeat, 0.0, 1.0)[1])
+    epochs = {s: (v / top) ** (a - 1) if v else 1.0 for s, v in tokens.items()}
+    budget = {s: math.floor(v * epochs[s]) for s, v in tokens.items()}
+    n_blocks = max(1, math.ceil(sum(budget.values()) / block_tokens))
+    out = []
+    for s in tokens:
+        for e in range(math.ceil(epochs[s])):
+            keyed = sorted((hashlib.md5(f"mix:{'' if i is None else i}:{e}".encode()).hexdigest(), -1 if i is None else i, n) for i, x, n in rows if x == s)
+            for key, i, n in keyed:
+                at = e * tokens[s] + sum(m for k, _, m in keyed if k < key)
+                if e == 0 or at < budget[s]:
+                    out.append((i, e, min(n_blocks - 1, math.floor(at / budget[s] * n_blocks)) if budget[s] else 0))
+    return Counter(out), a, budget
+
+
+@pytest.mark.parametrize("entropy, most_repeat", [(0.95, 3.0), (0.9, 100.0), (1.0, 1.0), (0.5, 4.0)])
+def test_mixing(spark, docs, entropy, most_repeat):
+    out = mixing.schedule(docs, entropy_fraction=entropy, max_repeat=most_repeat, block_tokens=500).collect()
+    want, a, _ = plain_schedule(corpus(), entropy, most_repeat, 500)
+    assert Counter((-1 if r["doc_id"] is None else r["doc_id"], r["epoch"], r["block_no"]) for r in out) == want
+    assert all(abs(r["exponent"] - a) < 1e-9 for r in out) and abs(sum({r["src"]: r["weight"] for r in out}.values()) - 1) < 1e-9
+    assert (a < 1 and max(r["epoch"] for r in out) > 0) == (most_repeat > 1)
+
+
+def test_mixed_rows(spark, docs):
+    clash = docs.withColumns({c: F.lit(i) for i, c in enumerate(("copies", "copy", "id", "rows", "_copies", "_id", "_c0"))})
+    out = mixing.mix(clash, max_repeat=3.0, block_tokens=500)
+    want, _, _ = plain_schedule(corpus(), 0.95, 3.0, 500)
+    copies = Counter(i for i, _ in {(i, e) for i, e, _ in want})
+    rows = Counter(-1 if r[0] is None else r[0] for r in corpus())
+    assert Counter(-1 if r["doc_id"] is None else r["doc_id"] for r in out.collect()) == Counter({i: n * copies[i] for i, n in rows.items()})
+    assert out.columns == clash.columns
+    assert mixing.schedule(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+    blank = spark.createDataFrame([(1, None, "en", None, 0), (1, "", "en", None, 0)], SCHEMA)
+    assert [r["weight"] for r in mixing.schedule(blank).collect()] == [0.0, 0.0] and mixing.mix(blank).count() == 2
 
 
 def repeated_words(rows):
@@ -279,6 +326,46 @@ def test_toxicity_learns_pairs_and_holds_out(spark):
     assert len(toxicity.toxicity(few, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()) == 3
 
 
+def linear_fit(x, y, steps=2000):
+    """Accuracy-relevant scores of a logistic regression by gradient descent."""
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(steps):
+        g = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w -= 0.5 * x.T @ g / len(y)
+        b -= 0.5 * g.mean()
+    return w, b
+
+
+def test_toxicity_learns_what_linear_weights_cannot(spark):
+    """The label is set where exactly one of two terms is present: neither term alone tells anything."""
+    r = random.Random(4)
+    rows, labels, x = [], [], []
+    for i in range(1800):
+        a, b = r.random() < 0.5, r.random() < 0.5
+        rows.append((i, " ".join(words(30, 20_000 + i) + ["firstword"] * a + ["otherword"] * b)))
+        labels.append((i, 1, int(a != b)))
+        x.append((a, b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {d["doc_id"]: d for d in toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [i for i in range(1800) if out[i]["held_out"]]
+    y, x = np.array([t for _, _, t in labels]), np.array(x, dtype=float)
+    seen = [i for i in range(1800) if not out[i]["held_out"]]
+    w, b = linear_fit(x[seen], y[seen])
+    assert np.mean((x[held] @ w + b > 0) == y[held]) < 0.65
+    assert np.mean([(out[i]["score"] >= 0.5) == y[i] for i in held]) >= 0.97
+
+
+def test_toxicity_odd_rows(spark):
+    """Clashing names, rows that repeat, one doc_id with several texts, nulls, ties and a very long text."""
+    rows = [(i, "good words here" if i % 2 else "vile insult here") for i in range(400)] + [(1, "good words here")] * 50 + [(2, None), (2, ""), (None, "vile insult"), (900, "vile insult " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(i) for i, c in enumerate(("score", "_score", "_c0", "toxic", "held_out", "places"))})
+    labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(400)] + [(3, 1, None), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    out = toxicity.toxicity(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= x["score"] <= 1 for x in out) and {x["predicted"] for x in out if x["doc_id"] == 900} == {1}
+    left = toxicity.drop_toxic(docs, toxicity.train(docs, labels))
+    assert left.columns == docs.columns and Counter(x["text"] for x in left.collect())["good words here"] == 250
+
+
 def test_url_filter(spark):
     import datetime as dt
 
