@@ -33,20 +33,32 @@ def safe_name(c: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(c, r"([^/\\]*)$", 1), r'[\\/:*?"<>|]', "_")
 
 
+# fixed values: what earlier processing left at the end of a name, and the names of what has none
+_LEFT_OVER = r"(?U)(?i)(?:[\s_-]*(?:已脱敏|脱敏|匿名|AI处理稿|AI处理|正式版))+$"
+NO_TASK, NO_FILE = "数据脱敏任务", "数据文件"
+
+
+def strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _stem(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(c, r"([^/]*)$", 1), r"(?<=.)\.[^.]+$", "")
+
+
 def task_name(c: Column) -> Column:
-    stem = F.regexp_replace(c, r"\.[^.]*$", "")
-    stem = F.regexp_replace(stem, r"(?:[_\-\s]*(?:已脱敏|脱敏|匿名|AI处理稿|AI处理|正式版))+$", "")
-    stem = F.trim(F.regexp_replace(stem, r"[\x00-\x1f<>]", "_"))
-    return F.left(F.coalesce(F.nullif(stem, F.lit("")), F.lit("未命名任务")), F.lit(120))
+    stem = F.regexp_replace(strip(F.regexp_replace(strip(_stem(c)), _LEFT_OVER, "")), r"[\x00-\x1f<>]", "_")
+    return F.left(F.coalesce(F.nullif(stem, F.lit("")), F.lit(NO_TASK)), F.lit(120))
 
 
 def output_name(c: Column, suffix: str) -> Column:
-    return F.concat(task_name(c), F.lit(f"_{suffix}"), F.lower(F.regexp_extract(c, r"(\.[^.]*)$", 1)))
+    stem = F.btrim(F.regexp_replace(_stem(c), _LEFT_OVER, ""), F.lit(" _-"))
+    return F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit(NO_FILE)), F.lit(f"_{suffix}"), F.lower(F.regexp_extract(c, r"(?<=[^/])(\.[^./]+)$", 1)))
 
 
 def as_bool(c: Column, default: bool = False) -> Column:
-    t = F.lower(F.trim(c))
-    return F.when(F.coalesce(t, F.lit("")) == "", F.lit(default)).otherwise(~t.isin("0", "false", "no", "off"))
+    """``default`` for null and the empty text; else false for the four words of no."""
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit(default)).otherwise(~F.lower(strip(c)).isin("0", "false", "no", "off"))
 
 
 def task_code(created: Column, task_id: Column) -> Column:

@@ -78,7 +78,12 @@ def rewrite(data: bytes, kind: str, change: Callable[[str], str]) -> bytes:
     """A document with each of its texts changed."""
     if kind == "txt":
         text, encoding = decode(data)
-        return change(text).encode(encoding, "replace")
+        new = change(text)
+        try:
+            return new.encode(encoding)
+        except (UnicodeEncodeError, LookupError):
+            # tokens that the old encoding has no characters for
+            return new.encode("utf-8-sig")
     out = io.BytesIO()
     with zipfile.ZipFile(io.BytesIO(data)) as source, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as target:
         for item in source.infolist():
