@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -25,6 +26,16 @@ HOT_SHARE = 1000
 SALTS = 32
 
 
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are reused, and each would keep its highest mark until the end."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -50,6 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
     _written.append(path)
     if time.monotonic() - _collected[0] > 2:
         gc.collect()
+        give_back()
         spark.sparkContext._jvm.System.gc()
         _collected[0] = time.monotonic()
     return spark.read.schema(df.schema).parquet(path)
@@ -150,6 +162,8 @@ def buckets(batches, columns: int):
                 x.append(np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[lo] : ends[hi]].copy().view(np.uint64))
     if now is not None:
         yield now, [np.concatenate(x) for x in held]
+    held = None
+    give_back()
 
 
 # --- word scanning -----------------------------------------------------------------------------------------
@@ -248,6 +262,7 @@ def parts(texts: pa.Array, most: int = 1 << 19):
     """(first row, end row, texts) of about ``most`` bytes of a column: a batch never becomes Python strings as a whole."""
     for a, b in _ranges(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), most):
         yield a, b, texts.slice(a, b - a).to_pylist()
+    give_back()
 
 
 def shingle_sets(texts: list[str | None], k: int, lower: bool = True) -> list[np.ndarray]:

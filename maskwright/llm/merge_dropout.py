@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.llm.common import parts
+
 from maskwright.llm.common import MULTS, mix
 
 SPACE = "▁"
@@ -322,10 +324,9 @@ def encode_docs(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int =
     def run(batches):
         p = pieces_of(sent.value)
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                own = texts[lo : lo + 256]
-                found = encode(p, own, [document_key(seed, str(x)) for x in names[lo : lo + 256]], rate)
+            names = batch.column(0).to_pylist()
+            for lo, hi, own in parts(batch.column(1), 1 << 20):
+                found = encode(p, own, [document_key(seed, str(x)) for x in names[lo:hi]], rate)
                 same = [decode(p, x) == (t or "") for x, t in zip(found, own)]
                 if digest:
                     last = pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in found], pa.string())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from maskwright.llm.common import cut, parts
+from maskwright.llm.common import cut, give_back, parts
 
 BITS = 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -31,7 +31,7 @@ THRESHOLD = 0.7
 
 def terms(text: str | None) -> np.ndarray:
     """Sorted distinct places of a text's terms."""
-    if len(_places) > 400_000:
+    if len(_places) > 200_000:
         _places.clear()
     words = set(_WORD.findall((text or "").lower()))
     words |= {w[:5] + "*" for w in words if len(w) > 5}
@@ -81,7 +81,7 @@ def select_terms(with_1: np.ndarray, with_0: np.ndarray, n1: float, n0: float, l
 #: A pair is looked at if either term is in one of PAIR_SHARE rows of the sample, so the work is bounded with it.
 PAIR_SHARE = 50
 PAIR_Z = 7.0
-_TERMS, _ROWS = 512, 1000
+_TERMS, _ROWS = 256, 500
 
 
 def paired_terms(terms: np.ndarray, ends: np.ndarray, y: np.ndarray, n_terms: int, block: int, least_z: float = PAIR_Z) -> np.ndarray:
@@ -162,7 +162,7 @@ def held_out() -> F.Column:
 
 def _featurise(batches):
     for batch in batches:
-        rows = [terms(t) for t in batch.column(2).to_pylist()]
+        rows = [terms(t) for _, _, some in parts(batch.column(2)) for t in some]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "toxic", "places"])
@@ -231,10 +231,13 @@ def _interacting(sample: DataFrame, common: np.ndarray) -> np.ndarray:
         for batch in batches:
             for block in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(paired_terms(*data.value, n, block))], ["term"])
+                give_back()
 
     blocks = -(-n // _TERMS)
     # at most the terms themselves for each block
     found = spark.range(0, blocks, 1, blocks).mapInArrow(run, "term long").distinct().toArrow()
+    data.destroy()
+    held.destroy()
     return np.sort(found.column("term").to_numpy())
 
 
