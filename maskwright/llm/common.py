@@ -7,7 +7,6 @@ import ctypes
 import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 _written: list[str] = []
-_collected = [0.0]
 #: Bits of the filters on keys, as a power of two: 1 MB.
 FILTER_BITS = 23
 #: A key is hot when it holds more than one in HOT_SHARE of all rows; so there are HOT_SHARE hot ones at most.
@@ -53,17 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from the files.
 
     Losing an executor then repeats only the steps after the cut. The driver drops what it no longer
-    refers to, so that shuffle files of the steps before can go; it looks every two seconds at most.
+    refers to, so that shuffle files of the steps before can go and its heap stays small (some 50 ms each time).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    if time.monotonic() - _collected[0] > 2:
-        gc.collect()
-        give_back()
-        spark.sparkContext._jvm.System.gc()
-        _collected[0] = time.monotonic()
+    gc.collect()
+    give_back()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -21,9 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import parts
-
-from maskwright.llm.common import MULTS, mix
+from maskwright.llm.common import MULTS, mix, parts
 
 SPACE = "▁"
 LONG = 256

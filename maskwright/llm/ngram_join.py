@@ -230,6 +230,10 @@ def _only(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return likely(source, wanted, "doc_id").join(wanted.hint("merge"), "doc_id", "left_semi")
 
 
+def _no_labels(spark) -> DataFrame:
+    return spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, max_level: int = 4, max_rounds: int = 4) -> DataFrame:
     """One row per row of ``docs`` (doc_id long, text string): doc_id, n_shingles, component_id.
 
@@ -245,9 +249,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     profile = cut(source.mapInArrow(_profile(k), "doc_id long, n long, s1 long, s2 long, bucket int, seen long"))
     rows = profile.filter("bucket is null").select("doc_id", "n", "s1", "s2")
     # a document hits as many buckets as it has tokens at most, so this list is bounded by HOT mean documents
-    often = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).filter(F.col("seen") * HOT >= F.lit(rows.count())).select("bucket").toPandas()
+    often = profile.filter("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).filter(F.col("seen") * HOT >= F.lit(rows.count())).select("bucket").toArrow()
     frequent = np.zeros(1 << BITS, dtype=bool)
-    frequent[often["bucket"].to_numpy(dtype=np.int64)] = True
+    frequent[often.column("bucket").to_numpy()] = True
     hot = spark.sparkContext.broadcast(frequent)
 
     sets = cut(rows.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
@@ -318,9 +322,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         more = tried.filter(linking).select("a", "b")
         found = not more.isEmpty()
         links = more if links is None else links.union(more)
-        labels = components(links) if found else labels if labels is not None else spark.createDataFrame([], "node long, root long")
+        labels = components(links) if found else labels if labels is not None else _no_labels(spark)
     if labels is None:
-        labels = spark.createDataFrame([], "node long, root long")
+        labels = _no_labels(spark)
     keyed = rows.join(sets, ["s1", "s2", "n"], "left").join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return keyed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
 
