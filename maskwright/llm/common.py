@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
-_written: list[str] = []
+#: Tables that cut() wrote, each with a weak reference to the JVM's list of its files.
+_written: list[tuple] = []
 #: Bits of the filters on keys, as a power of two: 1 MB.
 FILTER_BITS = 23
 #: A key is hot when it holds more than one in HOT_SHARE of all rows; so there are HOT_SHARE hot ones at most.
@@ -52,24 +53,32 @@ def cut(df: DataFrame) -> DataFrame:
 
     Losing an executor then repeats only the steps after the cut. The driver drops what it no longer
     refers to, so that shuffle files of the steps before can go and its heap stays small (some 50 ms each time).
+    The files of a cut go likewise, at a later cut, once no DataFrame refers to them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
     gc.collect()
     give_back()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    release(spark)
+    found = spark.read.schema(df.schema).parquet(path)
+    # every plan that reads the files holds this one object, whatever was derived from ``found``
+    files = found._jdf.queryExecution().analyzed().relation().location()
+    _written.append((path, spark.sparkContext._jvm.java.lang.ref.WeakReference(files)))
+    return found
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables that cut() wrote; call it once the results are stored."""
-    jvm = spark.sparkContext._jvm
-    for path in _written:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _written.clear()
+    """Delete the tables of cut() that no plan of the driver reads any more."""
+    jvm, alive = spark.sparkContext._jvm, []
+    for path, files in _written:
+        if files.refersTo(None):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        else:
+            alive.append((path, files))
+    _written[:] = alive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
