@@ -48,20 +48,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir[0]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, tidy: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later steps start from the files.
 
     Losing an executor then repeats only the steps after the cut. The driver drops what it no longer
     refers to, so that shuffle files of the steps before can go and its heap stays small (some 50 ms each time).
-    The files of a cut go likewise, at a later cut, once no DataFrame refers to them any more.
+    The files of a cut go likewise, at a later cut, once no DataFrame refers to them any more. Without ``tidy``
+    nothing is looked for: for many cuts of a few rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()
-    give_back()
-    spark.sparkContext._jvm.System.gc()
-    release(spark)
+    if tidy:
+        gc.collect()
+        give_back()
+        spark.sparkContext._jvm.System.gc()
+        release(spark)
     found = spark.read.schema(df.schema).parquet(path)
     # every plan that reads the files holds this one object, whatever was derived from ``found``
     files = found._jdf.queryExecution().analyzed().relation().location()

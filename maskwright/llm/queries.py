@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import block_names, line_templates, merge_dropout, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter
+from maskwright.llm import block_names, line_templates, merge_dropout, merkle, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter
 from maskwright.llm.common import table
 
 #: Where the public tokenizer lies; a parameter of the operator.
@@ -59,14 +59,20 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.encode_docs(table(spark, sf_dir, "documents"), PIECE_MODEL, digest=True)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_line_templates, op6_block_names, op7_mixing, op8_suffix_dedup, op9_secret_scan, op10_merge_dropout)
+    own = (op1_url_filter, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_line_templates, op6_block_names, op7_mixing, op8_suffix_dedup, op9_secret_scan, op10_merge_dropout, op11_merkle_manifest)
     return {f.__name__: f for f in own}
 
 
 _LOG = ", ".join(f"('{a}', '{b}', '{c}', '{d}', date '{e}')" for a, b, c, d, e in url_filter.DEMO_LOG)
 _WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_LEAF = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST({0} AS VARCHAR)", "text")) + ")"
+
 ORACLE = {
     "op1_url_filter": rf"""
 WITH log(list, kind, entry, action, day) AS (VALUES {_LOG}),
@@ -133,6 +139,28 @@ c2 AS (SELECT *, md5('mix:' || doc_id || ':' || epoch) AS key FROM c),
 c3 AS (SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY src, epoch ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c2),
 c4 AS (SELECT *, CASE WHEN budget > 0 THEN least(n_blocks - 1, CAST(floor(CAST(pos AS DOUBLE) / budget * n_blocks) AS BIGINT)) ELSE 0 END AS block_no FROM c3 WHERE epoch = 0 OR pos < budget)
 SELECT doc_id, src, epoch, n_tokens, CAST(block_no AS BIGINT) AS block_no, md5(key || block_no) AS order_key, round(weight, 6) AS weight FROM c4
+""",
+    "op11_merkle_manifest": rf"""
+WITH RECURSIVE rows0 AS (SELECT doc_id, lang, {_LEAF.format("n_chars")} AS leaf, CASE WHEN xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 7 = 0
+  THEN {_LEAF.format("(n_chars + 1)")} END AS fake FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS ix, count(*) OVER (PARTITION BY lang) AS n,
+  dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS g FROM rows0),
+low(g, level, ix, h, n) AS (SELECT g, 0, ix, leaf, n FROM leaves UNION ALL
+  SELECT g, level + 1, ix // 2, sha256(string_agg(h, '' ORDER BY ix)), (any_value(n) + 1) // 2 FROM low WHERE n > 1 GROUP BY g, level, ix // 2),
+sub AS (SELECT g, h AS subroot, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, ix, h, n) AS (SELECT 0, g, subroot, n FROM sub UNION ALL
+  SELECT level + 1, ix // 2, sha256(string_agg(h, '' ORDER BY ix)), (any_value(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY level, ix // 2),
+path AS (SELECT l.g, l.ix, a.level AS step, a.ix % 2 = 1 AS before, b.h FROM leaves l JOIN low a ON a.g = l.g AND a.n > 1 AND a.ix = l.ix >> CAST(a.level AS BIGINT)
+    LEFT JOIN low b ON b.g = l.g AND b.level = a.level AND b.ix = xor(a.ix, 1)
+  UNION ALL SELECT l.g, l.ix, 1000 + a.level, a.ix % 2 = 1, b.h FROM leaves l JOIN high a ON a.n > 1 AND a.ix = l.g >> CAST(a.level AS BIGINT)
+    LEFT JOIN high b ON b.level = a.level AND b.ix = xor(a.ix, 1)),
+proof AS (SELECT g, ix, list(CASE WHEN h IS NULL THEN '=' WHEN before THEN '<' || h ELSE '>' || h END ORDER BY step) AS p FROM path GROUP BY g, ix),
+every AS (SELECT l.*, coalesce(p, []) AS p, subroot, (SELECT h FROM high WHERE n = 1) AS root FROM leaves l LEFT JOIN proof USING (g, ix) JOIN sub USING (g)),
+done AS (SELECT *, sha256(array_to_string(list_transform(p, lambda x: x[2:]), '')) AS proof_sha256,
+  list_reduce(list_concat([coalesce(fake, leaf)], p), lambda a, x: sha256(CASE x[1] WHEN '<' THEN x[2:] || a WHEN '>' THEN a || x[2:] ELSE a END)) AS folded_root FROM every)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
 """,
 }
 
