@@ -293,3 +293,13 @@ def sets_of(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``side`` (distinct keys). Keys that more than one in HOT_SHARE of ``rows`` have, HOT_SHARE at most,
+    meet their rows by broadcast, so that no task gathers the rows of one; null keys meet nothing."""
+    total = F.lit(rows.count())
+    hot = F.broadcast(cut(rows.groupBy(key).agg(F.count("*").alias("_n")).filter((F.col("_n") * HOT_SHARE > total) & F.col(key).isNotNull()).select(key), tidy=False))
+    few = F.broadcast(side.join(hot, key, "left_semi"))
+    rest = rows.join(hot, key, "left_anti").join(side.join(hot, key, "left_anti").hint("merge"), key, how)
+    return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(rest)

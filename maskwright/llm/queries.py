@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import block_names, line_templates, merge_dropout, merkle, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter
+from maskwright.llm import block_names, line_templates, merge_dropout, merkle, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter, warc
 from maskwright.llm.common import table
 
 #: Where the public tokenizer lies; a parameter of the operator.
@@ -63,8 +63,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_line_templates, op6_block_names, op7_mixing, op8_suffix_dedup, op9_secret_scan, op10_merge_dropout, op11_merkle_manifest)
+    own = (op1_url_filter, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_line_templates, op6_block_names, op7_mixing, op8_suffix_dedup, op9_secret_scan, op10_merge_dropout, op11_merkle_manifest, op13_warc_index)
     return {f.__name__: f for f in own}
 
 
@@ -161,6 +165,11 @@ every AS (SELECT l.*, coalesce(p, []) AS p, subroot, (SELECT h FROM high WHERE n
 done AS (SELECT *, sha256(array_to_string(list_transform(p, lambda x: x[2:]), '')) AS proof_sha256,
   list_reduce(list_concat([coalesce(fake, leaf)], p), lambda a, x: sha256(CASE x[1] WHEN '<' THEN x[2:] || a WHEN '>' THEN a || x[2:] ELSE a END)) AS folded_root FROM every)
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
+""",
+    "op13_warc_index": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+k AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, nullif(first, page_id) AS refers_to FROM k
 """,
 }
 
