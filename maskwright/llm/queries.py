@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm import block_names, line_templates, merge_dropout, merkle, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter, warc
+from maskwright.llm import alignment, block_names, line_templates, merge_dropout, merkle, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup, toxicity, url_filter, warc
 from maskwright.llm.common import table
 
 #: Where the public tokenizer lies; a parameter of the operator.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Byte-level BPE, the piece model, and the first one's vocabulary as ranks with its split pattern.
+ALIGNED = ("/opt/tokenizers/byte_bpe_50k.json", PIECE_MODEL, "/opt/tokenizers/byte_bpe_50k.tiktoken", r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Share of the uniform entropy that the mixing query asks for: near enough to 1 that sources are repeated.
 MIX_ENTROPY = 0.998
 
@@ -63,12 +65,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), ALIGNED)
+
+
 def op13_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_line_templates, op6_block_names, op7_mixing, op8_suffix_dedup, op9_secret_scan, op10_merge_dropout, op11_merkle_manifest, op13_warc_index)
+    own = (op1_url_filter, op2_ngram_join, op3_quality_rules, op4_toxicity, op5_line_templates, op6_block_names, op7_mixing, op8_suffix_dedup, op9_secret_scan, op10_merge_dropout, op11_merkle_manifest, op12_alignment, op13_warc_index)
     return {f.__name__: f for f in own}
 
 
