@@ -74,7 +74,8 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         ids = self.known.get(word)
         if ids is None:
-            found = self.b.encode(word[1:])
+            # the library gives an empty text no space in front
+            found = self.b.encode(word[1:]) if len(word) > 1 else [self.b.piece_to_id("▁")]
             self.same &= b"".join([self.bytes_b[i] for i in found]) == word.encode()
             ids = np.array(found, dtype=np.uint16).tobytes()
             if len(word) < 40 and self.same:
