@@ -330,6 +330,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with the document of the smallest doc_id of each component; rows without doc_id stay."""
-    found = jaccard_components(docs, **how).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.filter("doc_id is not null").join(found, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each component: that of the smallest doc_id, then of the smallest hash of its text; rows without doc_id stay.
+
+    Rows that share a doc_id are told apart by their texts: unlike ones are components of their own and all stay, equal
+    ones leave one row, the first in the order of its columns as JSON. Columns keep names, types and order whatever they are called.
+    """
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*own.values())
+    doc, text = own["doc_id"], own["text"]
+    rows = plain.filter(F.col(doc).isNotNull()).withColumn("key", F.struct(F.col(doc).cast("long").alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")))
+    several = cut(rows.groupBy("key.id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("rows")).filter("a <> b"))
+    # a row of an id with several texts goes by a hash of both; other documents go by their id
+    if several.isEmpty():
+        rows = rows.withColumn("unit", F.col("key.id"))
+        named = None
+    else:
+        hot = F.broadcast(several.filter(F.col("rows") * 1000 > F.lit(rows.count())).select("id", F.lit(True).alias("many")))
+        rest = several.join(hot, "id", "left_anti").select("id", F.lit(True).alias("many"))
+        marked = rows.withColumn("id", F.col("key.id"))
+        rows = marked.join(hot, "id", "left_semi").withColumn("many", F.lit(True)).unionByName(marked.join(hot, "id", "left_anti").join(rest.hint("merge"), "id", "left"))
+        rows = rows.withColumn("unit", F.when(F.col("many"), F.xxhash64("key")).otherwise(F.col("id"))).drop("id", "many")
+        named = cut(rows.filter("unit <> key.id").select("unit", "key").distinct())
+    found = jaccard_components(rows.select(F.col("unit").alias("doc_id"), F.col(text).alias("text")), **how).select(F.col("doc_id").alias("unit"), "component_id")
+    if named is None:
+        kept = found.filter("unit = component_id").select("unit").distinct()
+    else:
+        first = F.min(F.struct(F.coalesce("key", F.struct(F.col("unit").alias("id"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"))).alias("key"), "unit"))
+        kept = found.distinct().join(named, "unit", "left").groupBy("component_id").agg(first.alias("first")).select("first.unit").distinct()
+    left = rows.join(kept, "unit", "left_semi")
+    whole = F.struct(*own.values())
+    one = left.groupBy("unit").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return one.unionByName(plain.filter(F.col(doc).isNull())).toDF(*docs.columns)

@@ -105,6 +105,17 @@ def test_keep_one(spark, docs):
     assert ngram_join.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_of_repeated_ids(spark):
+    """Unlike texts of one id stay; equal rows leave one; near copies of any ids leave the smallest."""
+    base, other = words(60, 71), words(60, 72)
+    near = " ".join(base[:59] + ["edited"])
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (2, near), (2, " ".join(words(60, 73))), (3, " ".join(words(50, 74))), (3, " ".join(words(50, 74))), (4, None), (4, ""), (None, near), (5, " ".join(other))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)], SCHEMA).withColumns({"key": F.lit(1), "unit": F.lit(2), "id": F.lit(3)}).repartition(3)
+    got = ngram_join.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.n_chars for r in got.collect()) == [0, 1, 3, 4, 6, 7, 8]
+
+
 def test_quality_rules(spark, docs):
     got = {r["doc_id"]: r for r in quality_rules.apply_policy(quality_rules.ledger(docs)).collect()}
     for i, t, *_ in corpus():
