@@ -7,7 +7,7 @@ from collections import Counter
 
 from maskwright import constants as C
 from maskwright.functions import rules
-from maskwright.functions.matching import contains_key, find_all, match_key
+from maskwright.functions.matching import Scan, find_all, match_key
 
 _NUMBER = re.compile(r"(\d+)】$")
 
@@ -27,6 +27,7 @@ class Mapping:
         self._by_key: dict[str, str] = {}
         self._known: dict[tuple[str, str], str] = {}
         self._last: Counter = Counter()
+        self._scan: tuple[int, Scan] | None = None
         for token, original in (previous or {}).get("token_to_original", {}).items():
             category = previous.get("token_categories", {}).get(token, "custom")
             self.old[token] = (original, category)
@@ -102,7 +103,10 @@ class Mapping:
         return groups
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
-        return find_all(text, self.entries)
+        # entries are only ever added
+        if self._scan is None or self._scan[0] != len(self.entries):
+            self._scan = (len(self.entries), Scan(map(match_key, self.entries)))
+        return find_all(text, self.entries, self._scan[1])
 
     def mask(self, text: str, filename: bool = False) -> str:
         out, at = [], 0
@@ -141,9 +145,10 @@ def restore(text: str, mapping: dict) -> str:
     return re.sub("|".join(re.escape(t) for t in sorted(known, key=len, reverse=True)), lambda m: known[m[0]], text)
 
 
-def relevant(labels: list[tuple[str, str]], text: str) -> list[tuple[str, str]]:
-    """The labels that a document contains."""
-    return [(t, c) for t, c in labels if contains_key(text, t)]
+def relevant(labels: list[tuple[str, str]], text: str, scan: Scan | None = None) -> list[tuple[str, str]]:
+    """The labels that a document contains; ``scan``: that of the labels' keys, if there."""
+    scan = scan or Scan(match_key(t) for t, _ in labels)
+    return [labels[i] for i in sorted(set(scan.places(match_key(text))[:, 0].tolist()))]
 
 
 #: Categories whose claim to a surface form comes first among model candidates; fixed values.

@@ -24,13 +24,15 @@ def deidentify(chunks: DataFrame, enabled: tuple[str, ...] = C.DEFAULT, labels:
 
     def run(batches):
         from maskwright.functions.mapping import Mapping, relevant
+        from maskwright.functions.matching import Scan, match_key
 
+        known = Scan(match_key(t) for t, _ in wanted)
         for batch in batches:
             out = []
             for doc_id, parts in zip(batch["doc_id"], batch["chunks"]):
                 texts = [(p["chunk_ix"], p["text"] or "") for p in parts]
                 whole = "\n".join(t for _, t in texts)
-                m = Mapping(enabled, relevant(wanted, whole), namespace=namespace, despaced=despaced)
+                m = Mapping(enabled, relevant(wanted, whole, known), namespace=namespace, despaced=despaced)
                 for _, t in texts:
                     m.discover(t)
                 if accept_aliases:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.constants import CATEGORIES
 from maskwright.functions.columns import strip
+from maskwright.operators.graph import connected
+from maskwright.shared import written
 
 #: States a task returns to when its processing ends early.
 RESUMABLE = ("review", "completed", "restored")
@@ -70,7 +73,10 @@ def upload_error(name: Column, size: Column, content_error: Column, most_mb: int
 
 def loopback(url: Column) -> Column:
     """Whether a URL is plain HTTP on this host, without user, path, query and fragment."""
-    return F.coalesce(url.rlike(r"(?i)^http://(127\.0\.0\.1|localhost)(:\d*)?/?\??#?$"), F.lit(False))
+    form = r"(?i)^http://(127\.0\.0\.1|localhost)(:(\d*))?/?\??#?$"
+    port = F.nullif(F.regexp_extract(url, form, 3), F.lit(""))
+    # a port of more digits than a long has is out of range too
+    return F.coalesce(url.rlike(form) & (port.isNull() | F.coalesce(port.try_cast("long") <= 65535, F.lit(False))), F.lit(False))
 
 
 def package_label(c: Column, default: str, most: int) -> Column:
@@ -139,9 +145,15 @@ def interrupted(tasks: DataFrame, otherwise: str, detail: str) -> DataFrame:
 
 
 def claim(tasks: DataFrame, seen: DataFrame) -> DataFrame:
-    """Compare and set: a task still in the state of ``seen`` (id, seen) starts processing; ``claimed`` tells which did."""
-    t = tasks.join(seen, "id", "left").withColumn("claimed", F.coalesce(F.col("status") == F.col("seen"), F.lit(False)))
-    return t.withColumns({"previous_status": F.when(F.col("claimed"), F.col("status")), "status": F.when(F.col("claimed"), F.lit("processing")).otherwise(F.col("status"))}).drop("seen")
+    """Compare and set: a task still in the state of ``seen`` (id, seen) starts processing; ``claimed`` tells which did.
+
+    A task has one winner however many claim it: claims by several states are one if the task's is among them. Who of
+    them wins is told by their order, see logs.fold_tasks.
+    """
+    wanted = seen.select("id", F.col("seen").alias("status"), F.lit(True).alias("_fits")).distinct()
+    t = tasks.join(wanted, ["id", "status"], "left").withColumn("claimed", F.coalesce("_fits", F.lit(False)))
+    t = t.withColumns({"previous_status": F.when(F.col("claimed"), F.col("status")), "status": F.when(F.col("claimed"), F.lit("processing")).otherwise(F.col("status"))})
+    return t.select(*tasks.columns, *(["previous_status"] if "previous_status" not in tasks.columns else []), "claimed")
 
 
 def admission(tasks: DataFrame) -> DataFrame:
@@ -180,23 +192,58 @@ def with_label(examples: DataFrame, labels: DataFrame) -> DataFrame:
     return examples.join(labels.select(F.col("id").alias("label_id"), F.lit(True).alias("_there")), "label_id", "left").withColumn("label_id", F.when(F.col("_there"), F.col("label_id"))).drop("_there")
 
 
-def update_labels(labels: DataFrame, changes: DataFrame) -> DataFrame:
-    """``labels`` (id, text, category, active) after ``changes`` (id, text, category; one an id), all against the table before.
+def update_labels(labels: DataFrame, changes: DataFrame, order: str = "id") -> DataFrame:
+    """``labels`` (id long, text, category, active) after ``changes`` (id, text, category), one after the other by ``order``, then id.
 
-    Where another label has the new text and category, it becomes active and the changed one inactive. Of several
-    changes to the same text and category the smallest id takes it, the others become inactive.
+    Where another label has the new text and category (of several the one of the smallest id), it becomes active and the
+    changed one inactive, its text staying; else the changed one takes them and is active. Each change meets what those
+    before it left. Only changes that share a label or a text and category can meet, directly or over others: these
+    groups are found first, and each is worked off in order; labels outside pass by. Changes of unknown ids are ignored.
     """
-    key = ["new_text", "new_category"]
-    ch = changes.select("id", F.col("text").alias("new_text"), F.col("category").alias("new_category"))
-    owner = labels.select(F.col("id").alias("owner"), F.col("text").alias("new_text"), F.col("category").alias("new_category"))
-    first = ch.groupBy(*key).agg(F.min("id").alias("first"))
-    ch = ch.join(owner, key, "left").join(first, key)
-    taken = F.col("owner").isNotNull() & (F.col("owner") != F.col("id"))
-    moved = ch.select("id", *key, taken.alias("taken"), (taken | F.col("owner").isNull() & (F.col("first") != F.col("id"))).alias("lost"), "owner")
-    revived = moved.filter("taken").select(F.col("owner").alias("id")).distinct().withColumn("revived", F.lit(True))
-    t = labels.join(moved.drop("owner", "taken"), "id", "left").join(revived, "id", "left")
-    wins = F.expr("lost is not null and not lost")
-    return t.select("id", F.when(wins, F.col("new_text")).otherwise(F.col("text")).alias("text"), F.when(wins, F.col("new_category")).otherwise(F.col("category")).alias("category"), F.when(F.col("revived") | wins, True).when(F.col("lost"), False).otherwise(F.col("active")).alias("active"))
+    value = lambda: F.xxhash64(F.lit("value"), "category", "text")
+    node = lambda: F.xxhash64(F.lit("id"), "id")
+    ch = written(changes.select(F.col("id").cast("long").alias("id"), "text", "category", F.col(order).cast("long").alias("seq")))
+    kind_of_id, columns = labels.schema["id"].dataType, ["id", "text", "category", "active"]
+    labels = labels.select(*columns).withColumn("id", F.col("id").cast("long"))
+    meets = labels.join(ch.select("text", "category").distinct(), ["text", "category"], "left_semi").select("id")
+    touched = labels.join(ch.select("id").union(meets).distinct(), "id", "left_semi")
+    links = touched.select(node().alias("a"), value().alias("b")).union(ch.select(node(), value()))
+    # hashes that meet by chance only join two groups
+    groups = connected(links).withColumnRenamed("node", "a")
+    kind = "g long, change int, seq long, id long, text string, category string, active boolean"
+    parts = touched.select(node().alias("a"), F.lit(0).alias("change"), F.lit(0).cast("long").alias("seq"), *columns)
+    parts = parts.union(ch.select(node(), F.lit(1), "seq", "id", "text", "category", F.lit(None).cast("boolean"))).join(groups, "a")
+    dealt = parts.select(F.col("root").alias("g"), *[x.split()[0] for x in kind.split(", ")][1:]).repartition("g").sortWithinPartitions("g", "change", "seq", "id")
+
+    def run(batches):
+        now, held, owners = None, {}, {}
+
+        def result():
+            rows = [(i, *x) for i, x in held.items()]
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["id", "text", "category", "active"])
+
+        for batch in batches:
+            for g, change, _, i, text, category, active in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != now:
+                    yield result()
+                    now, held, owners = g, {}, {}
+                if not change:
+                    held[i] = [text, category, active]
+                    owners.setdefault((text, category), set()).add(i)
+                elif i in held:
+                    others = owners.setdefault((text, category), set()) - {i}
+                    if others:
+                        held[min(others)][2], held[i][2] = True, False
+                    else:
+                        owners[held[i][0], held[i][1]].discard(i)
+                        owners[text, category].add(i)
+                        held[i] = [text, category, True]
+        yield result()
+
+    done = dealt.mapInArrow(run, "id long, text string, category string, active boolean")
+    rest = labels.join(touched.select("id"), "id", "left_anti")
+    return rest.unionByName(done).withColumn("id", F.col("id").cast(kind_of_id)).select(*columns)
 
 
 def deactivate(labels: DataFrame, ids: DataFrame) -> DataFrame:
@@ -248,22 +295,41 @@ def preview_sections(names: DataFrame, chunks: DataFrame, spans: DataFrame) -> D
 # --- packages --------------------------------------------------------------------------------------------------
 
 
-def package_guard(entries: DataFrame, most_files: int = 5000, total_bytes: int = 1 << 30, ratio: float = 250.0) -> DataFrame:
+def _casefolded(c: Column) -> Column:
+    """Lower case, and ß as ss: paths that differ in case only are one."""
+    return F.replace(F.lower(F.upper(c)), F.lit("ß"), F.lit("ss"))
+
+
+def package_guard(entries: DataFrame, most_files: int = 5000, total_bytes: int = 1 << 30, ratio: float = 250.0, packages: DataFrame | None = None) -> DataFrame:
     """Per package of (package, entry, size, csize, flags, mode): n, total and the faults that forbid to open it.
 
-    Faults: too_many, too_large, encrypted, bad_path, repeated (without case), symlink, blocked, ratio (entries of over
-    10 MiB only), no_weights, no_config, no_tokenizer.
+    Faults: empty, too_many, too_large, encrypted, bad_path, repeated (without case, ``.`` and doubled separators), symlink, blocked,
+    ratio (entries of over 10 MiB only), no_weights, no_config, no_tokenizer. Folders (entries that end in a
+    separator) are no files; weights, configuration and tokenizer are looked for in the package's folder, after a folder that holds all.
+    ``packages`` (package) are reported too if they have no entry.
     """
     path = F.regexp_replace("entry", r"\\", "/")
-    e = entries.withColumn("_path", path).withColumn("_name", F.lower(F.regexp_extract("_path", r"([^/]*)$", 1)))
+    e = entries.filter(~F.coalesce(path.endswith("/"), F.lit(False))).withColumn("_raw", path)
+    steps = F.filter(F.split("_raw", "/"), lambda x: (x != "") & (x != "."))
+    e = e.withColumn("_path", F.concat(F.when(F.col("_raw").startswith("/"), "/").otherwise(""), F.array_join(steps, "/")))
     # per path first, so that repeated paths are counted without gathering a package's names
-    e = e.groupBy("package", F.lower("_path").alias("_key"), "_name").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.max(F.col("flags").bitwiseAND(1)).alias("shut"), F.max((F.shiftright("mode", 12) == 10).cast("int")).alias("link"), F.max(((F.col("size") > 10 << 20) & (F.col("size") > ratio * F.col("csize")) & (F.col("csize") > 0)).cast("int")).alias("dense"))
+    e = e.groupBy("package", _casefolded(F.col("_path")).alias("_key")).agg(F.count("*").alias("n"), F.min("_path").alias("_path"), F.max("_raw").alias("_raw"), F.sum("size").alias("size"), F.max(F.col("flags").bitwiseAND(1)).alias("shut"), F.max((F.shiftright("mode", 12) == 10).cast("int")).alias("link"), F.max(((F.col("size") > 10 << 20) & (F.col("size") > ratio * F.col("csize")) & (F.col("csize") > 0)).cast("int")).alias("dense"))
     bad = F.col("_key").rlike(r"^/|(^|/)\.\.(/|$)|[:\x00]|^$")
+    top = F.when(F.col("_path").contains("/"), F.substring_index("_path", "/", 1))
+    name = F.lower(F.regexp_extract("_path", r"([^/]*)$", 1))
+    e = e.withColumns({"_top": top, "_name": name, "_depth": F.size(F.split("_path", "/"))})
+    here = lambda what, depth: F.max(what & (F.col("_depth") == depth))
+    wanted = {"weights": F.col("_name").rlike(WEIGHTS), "config": F.col("_name").isin(*CONFIGS), "tokenizer": F.col("_name").isin(*TOKENIZERS)}
     s = e.groupBy("package").agg(
         F.sum("n").alias("n"), F.sum("size").cast("long").alias("total"), F.max("n").alias("same"), F.max("shut").alias("shut"), F.max("link").alias("link"), F.max("dense").alias("dense"), F.max(bad).alias("bad"),
-        F.max(F.col("_name").rlike(BLOCKED)).alias("blocked"), F.max(F.col("_name").rlike(WEIGHTS)).alias("weights"), F.max(F.col("_name").isin(*CONFIGS)).alias("config"), F.max(F.col("_name").isin(*TOKENIZERS)).alias("tokenizer"),
+        F.max(F.col("_name").rlike(BLOCKED)).alias("blocked"), (F.count("_top") == F.count("*")).alias("deep"), (F.min("_top") == F.max("_top")).alias("one"),
+        *[here(what, depth).alias(f"{n}{depth}") for n, what in wanted.items() for depth in (1, 2)],
     )
-    checks = [("too_many", F.col("n") > most_files), ("too_large", F.col("total") > total_bytes), ("encrypted", F.col("shut") > 0), ("bad_path", F.col("bad")), ("repeated", F.col("same") > 1), ("symlink", F.col("link") > 0), ("blocked", F.col("blocked")), ("ratio", F.col("dense") > 0), ("no_weights", ~F.col("weights")), ("no_config", ~F.col("config")), ("no_tokenizer", ~F.col("tokenizer"))]
+    has = lambda n: F.when(F.col("deep") & F.col("one"), F.col(f"{n}2")).otherwise(F.col(f"{n}1"))
+    s = s.withColumn("empty", F.lit(False))
+    if packages is not None:
+        s = packages.select("package").distinct().join(s, "package", "left").withColumns({"empty": F.col("n").isNull(), "n": F.coalesce("n", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
+    checks = [("empty", F.col("empty")), ("too_many", F.col("n") > most_files), ("too_large", F.col("total") > total_bytes), ("encrypted", F.col("shut") > 0), ("bad_path", F.col("bad")), ("repeated", F.col("same") > 1), ("symlink", F.col("link") > 0), ("blocked", F.col("blocked")), ("ratio", F.col("dense") > 0), ("no_weights", ~has("weights")), ("no_config", ~has("config")), ("no_tokenizer", ~has("tokenizer"))]
     return s.select("package", "n", "total", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks])).alias("faults"))
 
 

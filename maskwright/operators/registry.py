@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +50,54 @@ def encrypt(column, key: str) -> F.Column:
 def decrypt(column, key: str) -> F.Column:
     """Null when the key or the data is wrong."""
     return F.try_aes_decrypt(F.unbase64(column), F.unhex(F.sha2(F.lit(key), 256)), F.lit("GCM")).cast("string")
+
+
+def _pads(key: bytes) -> tuple[bytes, bytes]:
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(b ^ 0x36 for b in block), bytes(b ^ 0x5C for b in block)
+
+
+def pads(secret: str) -> tuple[str, str]:
+    """The inner and outer pad of the fingerprints under a secret, in hex."""
+    return tuple(x.hex() for x in _pads(hashlib.sha256(secret.encode()).digest()))
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """The keyed digest of a text or binary column, in hex: two nested SHA-256 over the padded key, in built-in expressions."""
+    inner, outer = map(F.lit, _pads(key))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def fingerprint(text: Column, category: Column, secret: str) -> Column:
+    """What labels are told apart by without their texts: the keyed digest of category and text under the SHA-256 of a secret."""
+    return hmac_sha256(hashlib.sha256(secret.encode()).digest(), F.concat(category, F.lit("\0"), text))
+
+
+def upsert_labels(labels: DataFrame, new: DataFrame, secret: str) -> DataFrame:
+    """``labels`` (category, fingerprint, cipher, active) with ``new`` (text, category) in: created, or active again, or as they were.
+
+    ``changed`` tells which rows were created or woke up; these get their text encrypted anew. Several of ``new`` with one
+    text and category are one label. Rows of ``new`` without a text or category are none.
+    """
+    named = new.filter("text is not null and category is not null").select("text", "category").distinct().withColumn("fingerprint", fingerprint(F.col("text"), F.col("category"), secret))
+    both = labels.withColumn("_old", F.lit(True)).join(named, ["category", "fingerprint"], "full")
+    changed = F.col("text").isNotNull() & ~F.coalesce(F.col("active"), F.lit(False))
+    out = both.withColumn("changed", changed)
+    return out.select("category", "fingerprint", F.when(F.col("changed"), encrypt(F.col("text"), secret)).otherwise(F.col("cipher")).alias("cipher"), (F.col("changed") | F.coalesce("active", F.lit(False))).alias("active"), "changed")
+
+
+def annotation_counts(payloads: DataFrame, secret: str) -> DataFrame:
+    """``payloads`` with ``annotation_count`` in the place of ``annotations``, encrypted JSON: its number of entities, 0 where there is none or it can't be read."""
+    plain = F.from_json(decrypt(F.col("annotations"), secret), "entities array<string>")
+    return payloads.withColumn("annotation_count", F.coalesce(F.size(plain["entities"]), F.lit(0))).withColumn("annotation_count", F.greatest("annotation_count", F.lit(0))).drop("annotations")
+
+
+def registry_listing(artifacts: DataFrame) -> DataFrame:
+    """(id, name, version, file_count, is_active) of model packages, file_count being that of their manifests (a map, null: none)."""
+    return artifacts.select("id", "name", "version", F.coalesce(F.greatest(F.size("manifest"), F.lit(0)), F.lit(0)).alias("file_count"), F.coalesce("is_active", F.lit(False)).alias("is_active"))
+
+
+def active_model(artifacts: DataFrame, base: str) -> DataFrame:
+    """One row: active_artifact_id, the first active package by id or '', and whether the ``base`` model serves."""
+    found = artifacts.filter("is_active").agg(F.min("id").alias("id"))
+    return found.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("active_artifact_id"), F.lit(base).alias("base_model"), F.col("id").isNull().alias("base_is_active"))

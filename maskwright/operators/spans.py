@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "array<struct<neg:int,start:int,rank:int,end:int,category:string,value:string>>"
-
 
 def pattern_spans(docs: DataFrame, key: str, text: str, pattern: str, category: str, rank: int, guard: Column | None = None) -> DataFrame:
     """(key, start, end, rank, category, value, ordinal) of a pattern's matches.
@@ -27,25 +29,113 @@ def pattern_spans(docs: DataFrame, key: str, text: str, pattern: str, category:
     return each.select(key, F.col("x.starts").alias("start"), (F.col("x.starts") + F.length("x.hits")).alias("end"), F.lit(rank).alias("rank"), F.lit(category).alias("category"), F.col("x.hits").alias("value"), "ordinal")
 
 
-def dictionary_spans(docs: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
-    """Spans of dictionary entries (value, category, rank; distinct values) in texts, every place of each, advancing by its length.
+#: Entries of one automaton; a larger dictionary is dealt to several, each of which reads the texts.
+ENTRIES = 200_000
+_built: dict[str, object] = {}
+
+
+def _automaton(name: str, keys):
+    """The automaton of a broadcast list of keys, once a worker; those of other lists go."""
+    from maskwright.functions.matching import Scan
+
+    if name not in _built:
+        _built.clear()
+        _built[name] = Scan(keys)
+    return _built[name]
+
 
-    The dictionary is a parameter of the job: it is broadcast only up to 10,000 entries, and split across
-    the cluster otherwise.
+def _keyed(batches):
+    """Adds the match key of the first column."""
+    from maskwright.functions.matching import match_key
+
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x and match_key(x) for x in batch.column(0).to_pylist()], pa.string())], [*batch.schema.names, "mkey"])
+
+
+def dictionary_spans(docs: DataFrame, key: str, text: str, entries: DataFrame, by_key: bool = False, shard: int = ENTRIES) -> DataFrame:
+    """Spans of dictionary entries (value, category, rank) in texts: (key, start, end, rank, category, value, found).
+
+    Every place of each entry, advancing by its length; ``found`` is the source text there. ``by_key`` looks for the match
+    keys, whatever the case, spacing or width: of entries with one key, that of the least rank and then value counts;
+    otherwise values are looked for as they are, and are to be distinct. One pass finds all entries of an automaton; it
+    is broadcast as up to ``shard`` entries or so, and a larger dictionary takes a pass for each part. Empty and null
+    entries are nowhere, null texts have none.
     """
-    few = len(entries.limit(10_001).select(F.lit(1)).tail(10_001)) <= 10_000
-    side = F.broadcast(entries) if few else entries
-    met = docs.select(key, text).join(side, F.expr(f"contains({text}, value)"))
-    parts = met.select(key, "value", "category", "rank", F.split(F.col(text), F.concat(F.lit(r"\Q"), F.col("value"), F.lit(r"\E")), -1).alias("gaps"), F.length("value").alias("n"))
-    starts = F.transform(F.sequence(F.lit(1), F.size("gaps") - 1), lambda i: F.aggregate(F.slice("gaps", 1, i), F.lit(0), lambda a, g: a + F.length(g)) + (i - 1) * F.col("n"))
-    return parts.filter(F.size("gaps") > 1).select(key, "value", "category", "rank", "n", F.explode(starts).alias("start")).select(key, "start", (F.col("start") + F.col("n")).alias("end"), "rank", "category", "value")
+    from maskwright.functions.matching import key_offsets, match_key
+
+    spark = docs.sparkSession
+    known = entries.select(F.col("value").cast("string").alias("value"), F.col("category").cast("string").alias("category"), F.col("rank").cast("int").alias("rank"))
+    if by_key:
+        known = known.mapInArrow(_keyed, "value string, category string, rank int, mkey string")
+        first = F.min(F.struct("rank", "value", "category")).alias("e")
+        known = known.groupBy("mkey").agg(first).select("e.value", "e.category", "e.rank", "mkey")
+    else:
+        known = known.withColumn("mkey", F.col("value"))
+    known = known.filter("mkey <> ''")
+    shards = max(1, -(-known.count() // shard))
+    kind = docs.schema[key].dataType.simpleString()
+    out = None
+    for i in range(shards):
+        # a part of the dictionary, bounded by ``shard``
+        part = spark.sparkContext.broadcast((uuid.uuid4().hex, known.filter(F.pmod(F.xxhash64("mkey"), F.lit(shards)) == i).sort("rank", "value").toArrow()))
+
+        def run(batches, part=part):
+            name, table = part.value
+            table = table.combine_chunks()
+            scan = _automaton(name, table.column("mkey").to_pylist())
+            fields = [table.column(c).combine_chunks() for c in ("rank", "category", "value")]
+            for batch in batches:
+                owner, spans, texts, held = [], [], [], 0
+                for row in range(len(batch)):
+                    source = batch.column(1)[row].as_py()
+                    if source:
+                        at = scan.places(match_key(source) if by_key else source)
+                        if len(at):
+                            if by_key:
+                                back = key_offsets(source)
+                                at = np.column_stack([at[:, 0], back[at[:, 1]], back[at[:, 2] - 1] + 1])
+                            owner.append(np.full(len(at), row))
+                            spans.append(at)
+                            texts += [source[a:b] for _, a, b in at.tolist()]
+                            held += len(at)
+                    if held > 50_000 or (held and row == len(batch) - 1):
+                        flat = np.concatenate(spans)
+                        which = pa.array(flat[:, 0])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(owner))), pa.array(flat[:, 1].astype(np.int32)), pa.array(flat[:, 2].astype(np.int32)), *(f.take(which) for f in fields), pa.array(texts, pa.string())], [key, "start", "end", "rank", "category", "value", "found"])
+                        owner, spans, texts, held = [], [], [], 0
+
+        each = docs.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, start int, end int, rank int, category string, value string, found string")
+        out = each if out is None else out.union(each)
+    return out
 
 
 def greedy(spans: DataFrame, key: str) -> DataFrame:
-    """The longest spans that don't overlap, then the earliest, then by rank; one chunk's candidates meet in one row."""
-    ordered = F.array_sort(F.collect_set(F.struct((F.col("start") - F.col("end")).alias("neg"), "start", "rank", "end", "category", "value")))
-    kept = F.aggregate("all", F.array().cast(SPAN), lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"])), acc).otherwise(F.array_append(acc, x)))
-    return spans.groupBy(key).agg(ordered.alias("all")).select(key, F.explode(kept).alias("s")).select(key, "s.start", "s.end", "s.category", "s.value")
+    """The longest spans that don't overlap, then the earliest, then by rank: (key, start, end, category, value).
+
+    One key's candidates are read in the order of their claims, and what they cover is marked in a map of the text: time
+    goes with the number and length of the candidates, memory with the text.
+    """
+    kind = spans.schema[key].dataType.simpleString()
+    rows = spans.select(F.col(key).alias("k"), (F.col("start") - F.col("end")).alias("neg"), "start", "rank", "end", "category", "value")
+    order = ["k", "neg", "start", "rank", "end", "category", "value"]
+
+    def run(batches):
+        now, taken = object(), bytearray()
+        for batch in batches:
+            kept = []
+            keys, starts, ends = (batch.column(i).to_pylist() for i in (0, 2, 4))
+            for i, (k, start, end) in enumerate(zip(keys, starts, ends)):
+                if k != now:
+                    now, taken = k, bytearray()
+                if len(taken) < end:
+                    taken.extend(bytes(end - len(taken) + 1024))
+                if taken.find(1, start, end) < 0:
+                    taken[start:end] = b"\1" * (end - start)
+                    kept.append(i)
+            some = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(i) for i in (0, 2, 4, 5, 6)], [key, "start", "end", "category", "value"])
+
+    return rows.repartition("k").sortWithinPartitions(*order).mapInArrow(run, f"`{key}` {kind}, start int, end int, category string, value string")
 
 
 def not_overlapping(spans: DataFrame, protected: DataFrame, key: str) -> DataFrame:

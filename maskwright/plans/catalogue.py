@@ -94,7 +94,7 @@ def entries(spark, sf):
 
 
 def found(spark, sf):
-    return spans.dictionary_spans(read(spark, sf, "documents"), "doc_id", "text", entries(spark, sf))
+    return spans.dictionary_spans(read(spark, sf, "documents"), "doc_id", "text", entries(spark, sf)).drop("found")
 
 
 def chosen(spark, sf):
@@ -110,6 +110,25 @@ def dict_label_scan(spark, sf):
     return found(spark, sf).groupBy("value", "category").agg(F.count("*").alias("n_hits"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+#: Labels as people write them: names of nations in capitals with blanks between the letters, and parts of words in wide or mixed letters.
+_LABELS_SQL = "SELECT array_to_string(list_transform(string_split(n_name, ''), lambda c: c), ' ') AS value, 'location' AS category FROM nation UNION ALL SELECT * FROM (VALUES ('Ｔｉｏｎ', 'organization'), ('A TION', 'person'), ('the​ y', 'product'), ('LING	th', 'product'))"
+_KEY_SQL = rf"""WITH lab AS ({_LABELS_SQL}), e AS (SELECT category, lower(regexp_replace(translate(value, 'Ｔｉｏｎ', 'tion'), '[\s​]', '', 'g')) AS k FROM lab),
+p AS (SELECT category, k, '(?i)' || array_to_string(string_split(k, ''), '[\s\x0b\x1c-\x1f ​]*') AS re FROM e)
+SELECT doc_id, k AS label, category, i - 1 AS ordinal, f[i] AS found FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM (SELECT doc_id, k, category, regexp_extract_all(text, re) AS f FROM documents, p))"""
+
+
+@query(_KEY_SQL)
+def dict_key_scan(spark, sf):
+    """Labels found by their match keys, whatever the case, width and spacing on either side, with the source text of each place."""
+    own = spark.createDataFrame([("Ｔｉｏｎ", "organization"), ("A TION", "person"), ("the​ y", "product"), ("LING	th", "product")], "value string, category string")
+    names = read(spark, sf, "nation").select(F.array_join(F.split("n_name", ""), " ").alias("value"), F.lit("location").alias("category"))
+    labels = names.union(own).withColumn("rank", F.lit(0))
+    hits = spans.dictionary_spans(read(spark, sf, "documents"), "doc_id", "text", labels, by_key=True)
+    label = F.lower(F.regexp_replace(F.translate("value", "Ｔｉｏｎ", "tion"), "[\\s​]", ""))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "value").orderBy("start")) - 1
+    return hits.select("doc_id", label.alias("label"), "category", nth.cast("long").alias("ordinal"), "found")
+
+
 @query(f"WITH {_GREEDY_SQL} SELECT doc_id, start, stop, category, value FROM sel")
 def spn_greedy_nonoverlap(spark, sf):
     return chosen(spark, sf).withColumnRenamed("end", "stop")
@@ -398,4 +417,4 @@ def crypto_roundtrip(spark, sf):
     return r.select("r_regionkey", (registry.decrypt(F.col("ct"), "secret") == F.col("r_name")).alias("same"), registry.decrypt(F.col("ct"), "other").isNull().alias("shut"))
 
 
-from maskwright.plans import lifecycle  # noqa: E402, F401  (registers its queries)
+from maskwright.plans import lifecycle, logs  # noqa: E402, F401  (register their queries)

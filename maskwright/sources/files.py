@@ -174,3 +174,17 @@ def collected(rows: DataFrame, doc: str, order: str, text: str, most: int = 500_
 
 def page_of(location) -> F.Column:
     return F.regexp_extract(location, r"^第 (\d+) 页$", 1).try_cast("int")
+
+
+def cached_pages(sections: DataFrame, doc: str, order: str) -> DataFrame:
+    """(doc, pages): the texts of a document's pages in order, null unless their numbers are 1, 2, … without a gap.
+
+    ``sections``: doc, ``order``, location, text; a location like ``第 3 页`` names a page, the last section of a page counts,
+    other locations are passed over. A document without pages has null; a null text is an empty one.
+    """
+    page = F.regexp_extract(F.btrim("location"), r"(?U)^第\s*(\d+)\s*页$", 1).try_cast("long")
+    last = sections.select(doc, order, page.alias("page"), "text").groupBy(doc, "page").agg(F.max_by(F.coalesce("text", F.lit("")), order).alias("text"))
+    # numbers are distinct now: none is missing if as many as the largest, the smallest being 1
+    whole = last.groupBy(doc).agg(F.count("page").alias("n"), F.min("page").alias("low"), F.max("page").alias("high"), F.array_sort(F.collect_list(F.when(F.col("page").isNotNull(), F.struct("page", "text")))).alias("held"))
+    texts = F.transform("held", lambda x: x["text"])
+    return whole.select(doc, F.when((F.col("low") == 1) & (F.col("high") == F.col("n")), texts).alias("pages"))
