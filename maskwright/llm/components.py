@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import cut
 
+#: Links up to which a turn is one task.
+FEW = 100_000
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a long, b long); root is the smallest node reachable.
@@ -16,14 +18,17 @@ def components(links: DataFrame) -> DataFrame:
     splits them. Turns end when every node hangs on one other that hangs on none: one count by node, not a turn more.
     """
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    # one task for what is small: its turns cost no shuffle; the number of links never grows
+    few = edges.count() <= FEW
+    near = (lambda df: df.coalesce(1)) if few else (lambda df: df)
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = near(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()
-        edges = cut(small)
-        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below")).union(edges.select("v", F.lit(0)))
+        small = near(large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)).distinct()
+        edges = cut(small, tidy=not few)
+        ends = near(edges.select(F.col("u").alias("node"), F.lit(1).alias("below")).union(edges.select("v", F.lit(0))))
         loose = ends.groupBy("node").agg(F.sum("below").alias("below"), F.min("below").alias("least")).filter("below > 1 or (below = 1 and least = 0)")
         if loose.isEmpty():
             break

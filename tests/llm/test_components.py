@@ -10,8 +10,9 @@ from maskwright.llm.common import cut
 from maskwright.llm.components import components
 
 
-@pytest.mark.parametrize("seed, n_links, chain", [(0, 150, 0), (1, 250, 60), (2, 0, 0)])
-def test_components(spark, seed, n_links, chain):
+@pytest.mark.parametrize("seed, n_links, chain, few", [(0, 150, 0, 0), (1, 250, 60, 0), (1, 250, 60, 1000), (2, 0, 0, 1000)])
+def test_components(spark, monkeypatch, seed, n_links, chain, few):
+    monkeypatch.setattr("maskwright.llm.components.FEW", few)
     rnd = random.Random(seed)
     links = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(n_links)] + [(i, i + 1) for i in range(300, 300 + chain)]
     up = {}
