@@ -417,4 +417,4 @@ def crypto_roundtrip(spark, sf):
     return r.select("r_regionkey", (registry.decrypt(F.col("ct"), "secret") == F.col("r_name")).alias("same"), registry.decrypt(F.col("ct"), "other").isNull().alias("shut"))
 
 
-from maskwright.plans import lifecycle, logs  # noqa: E402, F401  (register their queries)
+from maskwright.plans import lifecycle, logs, rules  # noqa: E402, F401  (register their queries)
