@@ -27,30 +27,58 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",  # - and _ are + and / of the other writing
 }
+#: Items of a run of a long array that is folded.
+RUN = 256
 #: Lower bounds of the length classes.
 LENGTHS = (20, 32, 64, 128)
 KINDS = ("assign", "access", "hex", "rand")
 _SPANS = "array<struct<s:int,o:int,e:int>>"
 
 
+def prefixes(values: F.Column, zero: int, join) -> F.Column:
+    """For each of an int array what ``join`` (associative, ``zero`` its neutral) makes of those before it; in runs, so that a
+    long array is not copied at each step."""
+    ints = "array<int>"
+
+    def fold(v, first):
+        step = lambda a, x: F.struct(F.array_append(a["out"], a["at"]).alias("out"), join(a["at"], x).alias("at"))
+        return F.aggregate(v, F.struct(F.array().cast(ints).alias("out"), first.cast("int").alias("at")), step, lambda a: a["out"])
+
+    def joined(v):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda r: F.slice(v, r * RUN + 1, F.lit(RUN)))
+        return let(runs, lambda rs: let(fold(F.transform(rs, lambda r: F.aggregate(r, F.lit(zero), join)), F.lit(zero)), lambda firsts: F.flatten(F.transform(rs, lambda r, i: fold(r, F.get(firsts, i))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, joined(v)).otherwise(F.array().cast(ints)))
+
+
+def _free(base: F.Column, more: F.Column) -> F.Column:
+    """Those of ``more`` that overlap none of ``base``: in the order of starts, no end before reaches in and no start behind lies within."""
+    last = 2**31 - 1
+
+    def among(every):
+        ends = F.transform(every, lambda x: F.when(x["o"] < 3, x["e"]).otherwise(0))
+        starts = F.reverse(F.transform(every, lambda x: F.when(x["o"] < 3, x["s"]).otherwise(last)))
+        both = F.struct(every.alias("x"), prefixes(ends, 0, lambda u, v: F.greatest(u, v)).alias("before"), F.reverse(prefixes(starts, last, lambda u, v: F.least(u, v))).alias("behind"))
+        return let(both, lambda t: F.filter(t["x"], lambda x, i: (x["o"] == 3) & (F.get(t["before"], i) <= x["s"]) & (F.get(t["behind"], i) >= x["e"])))
+
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), let(F.array_sort(F.concat(base, more)), among)).otherwise(more)
+
+
 def _spans(text: F.Column, pattern: str, kind: int, least: int, group: int = 0) -> F.Column:
     """Spans (start, kind, end) in code points of the leftmost matches whose ``group`` has ``least`` characters."""
     whole, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
 
     def of(x):
-        # cumulative: everything before match i is gaps 0..i and matches 0..i-1
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-
-        def step(acc, i):
-            s = acc["at"] + F.length(F.get(x["g"], i))
-            e = s + F.length(F.get(x["w"], i))
-            new = F.when(F.length(F.get(x["p"], i)) >= least, F.array(F.struct(s.alias("s"), F.lit(kind).alias("o"), e.alias("e")))).otherwise(F.array().cast(_SPANS))
-            return F.struct(e.alias("at"), F.concat(acc["out"], new).alias("out"))
+        # before match i are the gaps 0..i and the matches 0..i-1
+        steps = F.transform(x["w"], lambda w, i: F.length(F.get(x["g"], i)) + F.length(w))
+        return let(F.struct(x["w"].alias("w"), x["g"].alias("g"), x["p"].alias("p"), prefixes(steps, 0, lambda u, v: u + v).alias("at")), placed)
 
-        return F.when(F.size(x["w"]) == 0, F.array().cast(_SPANS)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(x["w"]) - 1), start, step, lambda a: a["out"]))
+    def placed(x):
+        each = F.transform(x["w"], lambda w, i: let(F.get(x["at"], i) + F.length(F.get(x["g"], i)), lambda s: F.struct(s.alias("s"), F.lit(kind).alias("o"), (s + F.length(w)).alias("e"))))
+        return F.filter(each, lambda m, i: F.length(F.get(x["p"], i)) >= least)
 
     return F.when(text.rlike(pattern), let(F.struct(whole.alias("w"), gaps.alias("g"), part.alias("p")), of)).otherwise(F.array().cast(_SPANS))
 
@@ -74,7 +102,7 @@ def battery(value: F.Column) -> F.Column:
         alphabet = F.element_at(F.create_map(*[F.lit(y) for pair in ALPHABETS.items() for y in pair]), x["enc"])
         text = F.when(x["enc"] == "hex", F.lower(x["body"])).otherwise(x["body"])
         size = F.when(x["enc"] == "base64", F.lit(64)).otherwise(F.length(alphabet)).cast("double")
-        codes = F.transform(F.split(text, ""), lambda c: F.least(F.instr(alphabet, c) - 1, F.lit(63)).cast("double"))
+        codes = F.transform(F.split(text, ""), lambda c: let(F.instr(alphabet, c) - 1, lambda i: F.when(i > 63, i - 2).otherwise(i)).cast("double"))
         return let(F.struct(codes.alias("c"), size.alias("k")), scored)
 
     def scored(x):
@@ -114,7 +142,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(_spans(text, ASSIGN, 0, 8, 2), _spans(text, ACCESS, 1, 16), _spans(text, HEX, 2, 32))
     found = docs.select("doc_id", text.alias("text"), base.alias("base"), _spans(text, CANDIDATE, 3, 20).alias("more"))
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (m["s"] < b["e"]) & (b["s"] < m["e"])))
+    free = _free(F.col("base"), F.col("more"))
     tests = F.transform(free, lambda m: let(F.substring(F.col("text"), m["s"] + 1, m["e"] - m["s"]), lambda v: F.struct(m.alias("m"), battery(v).alias("t"))))
     return found.select("doc_id", "base", F.when(F.size("more") > 0, tests).otherwise(F.transform(F.array().cast("array<int>"), lambda _: F.struct(F.struct(F.lit(0).alias("s"), F.lit(3).alias("o"), F.lit(0).alias("e")).alias("m"), F.struct(F.lit("").alias("enc"), F.lit(0.0).alias("p")).alias("t")))).alias("tests"))
 
