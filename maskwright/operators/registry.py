@@ -22,6 +22,25 @@ def best_candidates(found: DataFrame, limits: dict[str, float], priority: dict[s
     return good.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "prio")
 
 
+def ordered_candidates(found: DataFrame, limits: dict[str, float], priority: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """What is selected of model candidates (doc_id, value, category, prob, ix, text_index, start), and how many are not.
+
+    The first table is ``best_candidates`` with ``position``, from 1 in each document: by text_index (null: 0), start (null:
+    -1), the longer value, then the value that passed first by ``ix``. The second has doc_id and ``rejected``, all candidates of a
+    document less those selected, documents without a selected one too. A null or empty value is rejected.
+    """
+    named = found.filter("value <> ''")
+    best = best_candidates(named, limits, priority)
+    limit = F.coalesce(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("category")], F.lit(1.0))
+    first = named.filter(F.col("prob") >= limit).groupBy(F.col("doc_id").alias("_doc"), F.col("value").alias("_value")).agg(F.min("ix").alias("_first"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("value") == F.col("_value"))
+    w = Window.partitionBy("doc_id").orderBy(F.coalesce("text_index", F.lit(0)), F.coalesce("start", F.lit(-1)), F.desc(F.length("value")), "_first")
+    chosen = best.join(first, same).withColumn("position", F.row_number().over(w)).drop("_doc", "_value", "_first")
+    kept = chosen.groupBy(F.col("doc_id").alias("_doc")).agg(F.count("*").alias("_kept"))
+    every = found.groupBy("doc_id").agg(F.count("*").alias("_all")).join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    return chosen, every.select("doc_id", (F.col("_all") - F.coalesce("_kept", F.lit(0))).alias("rejected"))
+
+
 def recover(tasks: DataFrame) -> DataFrame:
     """What an interrupted task becomes at a restart."""
     new = F.coalesce("previous_status", F.when(F.col("has_output"), "completed").when(F.col("has_mapping"), "review").otherwise("cancelled"))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from maskwright.functions.mapping import PRIORITY
 from maskwright.operators import detect as D
-from maskwright.operators import spans
+from maskwright.operators import registry, spans
 from maskwright.plans.catalogue import query, read
 
 # parts of the texts, from a number k
@@ -143,6 +144,32 @@ def alias_forms(spark, sf):
     return D.name_forms(read(spark, sf, "customer").select(F.col("c_custkey").alias("k")).withColumn("full", full), "k", "full")
 
 
+_LIMITS = {"person": 0.7, "organization": 0.55, "product": 0.6, "location": 0.6, "address": 0.6}
+_MODEL_ROWS = """c AS (SELECT vec_id % 200 AS doc_id, 'v' || repeat('x', CAST(vec_id % 3 AS INTEGER)) || label AS value, list_extract(['person', 'product', 'organization', 'location'], CAST(vec_id % 4 + 1 AS INTEGER)) AS category, ((vec_id * 37) % 100) / 100.0 AS prob, vec_id AS ix,
+CASE WHEN vec_id % 7 <> 0 THEN vec_id % 3 ELSE 0 END AS text_index, CASE WHEN vec_id % 11 <> 0 THEN vec_id * 13 % 5 ELSE -1 END AS start FROM embeddings),
+g AS (SELECT *, CASE category WHEN 'organization' THEN 5 WHEN 'product' THEN 4 WHEN 'location' THEN 3 ELSE 1 END AS prio FROM c WHERE prob >= CASE category WHEN 'person' THEN 0.7 WHEN 'organization' THEN 0.55 ELSE 0.6 END),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, value ORDER BY prio DESC, prob DESC, ix) AS n, min(ix) OVER (PARTITION BY doc_id, value) AS first FROM g)"""
+
+
+def _model_rows(spark, sf):
+    v = F.col("vec_id")
+    value = F.expr("concat('v', repeat('x', cast(vec_id % 3 as int)), label)")
+    category = F.element_at(F.array(*map(F.lit, ("person", "product", "organization", "location"))), (v % 4 + 1).cast("int"))
+    return read(spark, sf, "embeddings").select((v % 200).alias("doc_id"), value.alias("value"), category.alias("category"), (v * 37 % 100 / 100.0).cast("double").alias("prob"), v.alias("ix"), F.when(v % 7 != 0, v % 3).alias("text_index"), F.when(v % 11 != 0, v * 13 % 5).alias("start"))
+
+
+@query(f"WITH {_MODEL_ROWS} SELECT doc_id, value, category, ix, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY text_index, start, length(value) DESC, first) AS INTEGER) AS position FROM b WHERE n = 1")
+def model_order(spark, sf):
+    """The selected model candidates of a document, in the order in which they are registered."""
+    return registry.ordered_candidates(_model_rows(spark, sf), _LIMITS, PRIORITY)[0].select("doc_id", "value", "category", "ix", "position")
+
+
+@query(f"WITH {_MODEL_ROWS} SELECT doc_id, count(*) - (SELECT count(*) FROM b WHERE n = 1 AND b.doc_id = c.doc_id) AS rejected FROM c GROUP BY doc_id")
+def model_rejected(spark, sf):
+    """How many candidates of a document a review does not see."""
+    return registry.ordered_candidates(_model_rows(spark, sf), _LIMITS, PRIORITY)[1]
+
+
 #: Chunks are turns; a conversation's entities are three of the words of its first turn, a word of the file's name, and one that is nowhere.
 _CONTEXT_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ix FROM conversations),
 w AS (SELECT conv_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{4,}'), lambda x: x <> 'stem'))) AS w FROM c WHERE ix = 0),

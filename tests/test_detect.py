@@ -3,7 +3,7 @@
 from maskwright import constants as C
 from maskwright.functions import rules
 from maskwright.operators import detect as D
-from maskwright.operators import spans
+from maskwright.operators import registry, spans
 
 
 def test_detect_reads_every_row(spark):
@@ -51,3 +51,12 @@ def test_review_contexts(spark):
     assert got[("d", "T3")] == ("rule", None, [])
     assert got[("d", "T4")] == ("rule", None, [("My  In-name ", "inname", "", "文件名")])
     assert got[("e", "T1")] == ("label", None, []) and got[("f", "T1")] == ("rule", None, [])
+
+
+def test_order_and_rejection_of_model_candidates(spark):
+    rows = [(1, "late", "person", 0.9, 0, 2, 5), (1, "bb", "person", 0.9, 1, None, None), (1, "aaa", "person", 0.9, 2, 0, -1), (1, "cc", "person", 0.6, 3, 0, -1), (1, "cc", "person", 0.9, 4, 0, -1), (1, "bb", "product", 0.6, 5, None, None)]
+    rows += [(1, None, "person", 0.9, 6, 0, 0), (1, "", "person", 0.9, 7, 0, 0), (2, "x", "person", None, 0, 0, 0), (2, "x", "other", 0.9, 1, 0, 0), (None, "x", "person", 0.8, 0, 0, 0), (None, "x", "person", 0.8, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, value string, category string, prob double, ix long, text_index long, start long")
+    chosen, rejected = registry.ordered_candidates(df, {"person": 0.7, "product": 0.6}, {"product": 4, "person": 1})
+    assert sorted((r["doc_id"] or 0, r["position"], r["value"], r["category"]) for r in chosen.collect()) == [(0, 1, "x", "person"), (1, 1, "aaa", "person"), (1, 2, "bb", "product"), (1, 3, "cc", "person"), (1, 4, "late", "person")]
+    assert {(r["doc_id"], r["rejected"]) for r in rejected.collect()} == {(1, 4), (2, 2), (None, 1)}
