@@ -14,6 +14,19 @@ def local_day(created) -> F.Column:
     return F.to_date(F.from_utc_timestamp(created, ZONE))
 
 
+def scalar_counts(entity_counts: DataFrame, examples: DataFrame, labels: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: entities (the sum over maps ``counts``, a null map or number none), training_examples, active_labels, training_documents.
+
+    Each table is aggregated by itself and the four rows are summed; empty tables count 0, rows that repeat count each.
+    """
+    numbers = F.aggregate(F.map_values("counts"), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    parts = [entity_counts.agg(F.sum(numbers).alias("entities")), examples.agg(F.count("*").alias("training_examples")), labels.agg(F.count_if("active").alias("active_labels")), documents.agg(F.count("*").alias("training_documents"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in out.columns])
+
+
 def status_distribution(tasks: DataFrame) -> DataFrame:
     """Every status in its declared order, zeros included."""
     spark = tasks.sparkSession

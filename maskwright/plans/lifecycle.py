@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.operators import lifecycle as L
+from maskwright.operators import stats
 from maskwright.plans.catalogue import _TASKS_SQL, query, read, tasks
 
 _FILES_SQL = "p AS (SELECT *, event_id::VARCHAR AS id, CASE WHEN k % 3 <> 0 THEN event_id || '_x.txt' END AS anon, CASE WHEN k % 4 = 0 THEN event_id || '.txt' END AS rest FROM tasks)"
@@ -71,6 +72,12 @@ def stats_totals(spark, sf):
     return t.agg(F.sum(L.total_entities(F.col("m"))).alias("entities"), F.sum(F.size("spans")).alias("occurrences"), F.count("*").alias("tasks"))
 
 
+@query(f"WITH {_TASKS_SQL} SELECT (SELECT CAST(sum(selected_count + rejected_count) AS BIGINT) FROM tasks) AS entities, (SELECT count(*) FROM labels) AS training_examples, (SELECT count(*) FROM customer WHERE c_custkey % 3 <> 0) AS active_labels, (SELECT count(*) FROM documents) AS training_documents")
+def stats_scalar_counts(spark, sf):
+    counts = tasks(spark, sf).select(F.create_map(F.lit("person"), "selected_count", F.lit("phone"), "rejected_count").alias("counts"))
+    return stats.scalar_counts(counts, read(spark, sf, "labels"), _labels(spark, sf), read(spark, sf, "documents"))
+
+
 @query("""SELECT doc_id, i - 1 AS position, text, category FROM (SELECT doc_id, unnest(range(1, 4)) AS i, unnest([trim(source), lang, 'a|b']) AS text, unnest(['person', 'custom', 'custom']) AS category FROM documents WHERE doc_id % 2 = 0
 UNION ALL SELECT doc_id, 1, lang, 'email' FROM documents WHERE doc_id % 2 = 1)""")
 def custom_entities(spark, sf):

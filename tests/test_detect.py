@@ -3,7 +3,7 @@
 from maskwright import constants as C
 from maskwright.functions import rules
 from maskwright.operators import detect as D
-from maskwright.operators import registry, spans
+from maskwright.operators import registry, spans, stats
 
 
 def test_detect_reads_every_row(spark):
@@ -60,3 +60,10 @@ def test_order_and_rejection_of_model_candidates(spark):
     chosen, rejected = registry.ordered_candidates(df, {"person": 0.7, "product": 0.6}, {"product": 4, "person": 1})
     assert sorted((r["doc_id"] or 0, r["position"], r["value"], r["category"]) for r in chosen.collect()) == [(0, 1, "x", "person"), (1, 1, "aaa", "person"), (1, 2, "bb", "product"), (1, 3, "cc", "person"), (1, 4, "late", "person")]
     assert {(r["doc_id"], r["rejected"]) for r in rejected.collect()} == {(1, 4), (2, 2), (None, 1)}
+
+
+def test_scalar_counts_of_nulls_and_empty_tables(spark):
+    maps = spark.createDataFrame([({"a": 2, "b": None},), (None,), ({},), ({"a": 3},)], "counts map<string,int>")
+    labels = spark.createDataFrame([(True,), (None,), (False,), (True,)], "active boolean")
+    assert stats.scalar_counts(maps, maps, labels, maps.limit(0)).collect() == [(5, 4, 2, 0)]
+    assert stats.scalar_counts(maps.limit(0), maps.limit(0), labels.limit(0), maps.limit(0)).collect() == [(0, 0, 0, 0)]
