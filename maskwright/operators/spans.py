@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 
 def pattern_spans(docs: DataFrame, key: str, text: str, pattern: str, category: str, rank: int, guard: Column | None = None) -> DataFrame:
-    """(key, start, end, rank, category, value, ordinal) of a pattern's matches.
+    """(key, start, end, rank, category, value, ordinal) of what the first group of a pattern matches.
 
-    Natively: a match starts after all the gaps and matches before it, so that running lengths give offsets.
+    Natively: a match starts after all the gaps and matches before it, so that running lengths give offsets. The pattern
+    may match boundaries around the group that the group itself can't begin with.
     ``guard`` is a cheap condition that a text with a match must meet; it runs first.
     """
     rows = docs.filter(guard) if guard is not None else docs
-    both = rows.select(F.col(key), F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hits"))
+    all_of = lambda group: F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
+    both = rows.select(F.col(key), F.split(text, pattern, -1).alias("gaps"), all_of(0).alias("whole"), all_of(1).alias("hits"))
     at = F.aggregate(
-        F.transform("hits", lambda h, i: F.struct(F.length(F.get("gaps", i)).alias("g"), F.length(h).alias("n"))),
+        F.transform("hits", lambda h, i: F.struct(F.length(F.get("gaps", i)).alias("g"), F.length(F.get("whole", i)).alias("n"), (F.call_function("instr", F.get("whole", i), h) - 1).alias("lead"))),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.array_append(a["out"], a["at"] + x["g"]).alias("out")),
+        lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.array_append(a["out"], a["at"] + x["g"] + x["lead"]).alias("out")),
         lambda a: a["out"],
     )
     found = both.filter(F.size("hits") > 0).select(key, "hits", at.alias("starts"))

@@ -67,3 +67,27 @@ def test_scalar_counts_of_nulls_and_empty_tables(spark):
     labels = spark.createDataFrame([(True,), (None,), (False,), (True,)], "active boolean")
     assert stats.scalar_counts(maps, maps, labels, maps.limit(0)).collect() == [(5, 4, 2, 0)]
     assert stats.scalar_counts(maps.limit(0), maps.limit(0), labels.limit(0), maps.limit(0)).collect() == [(0, 0, 0, 0)]
+
+
+ODD_EMAILS = [
+    *("a@b.com c@d.com", "a@b.com,c@d.com;e@f.gg h@i.jj", "a@b.co+c@d.ee", "a@b.co c+x@d.ee", "a@b.c@d.e@f.g", "a@b.co😀c@d.ee", "a@b.c-+d@e.f", "a@b.com.", "a@b.c-d.", "a@b..c d@e.f", "-@-.-"),
+    *("cafe\u0301@b.com", "a@b.com\u0301 z@y.xx", "a\u200db@c.de", "a\u203fb@c.dd", "x²@b.com", "Ⓐ@b.com", "ⅷ@b.½", "用户@例子.中国，下一个@例子.中国", "a@b.com\n", "\na@b.com\r\nc@d.com\u2028", "@", "", None),
+    "x 𝒳a@b.com  y@z.ww " + "a@b" + ".c" * 50_000,
+]
+
+
+def test_emails_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from maskwright.plans import catalogue as Q
+
+    for name, table, key, text in (("det_email_documents", "documents", "doc_id", "text"),):
+        df = spark.createDataFrame(list(enumerate(ODD_EMAILS)), f"{key} long, {text} string")
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+        duck = duckdb.connect()
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        want = duck.execute(Q.ORACLE[name]).fetchall()
+        assert len(want) > 20
+        assert sorted(map(tuple, Q.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want)
+        for r in Q.emails(df, key, text).collect():
+            assert ODD_EMAILS[r[key]][r["start"] : r["end"]] == r["value"]
