@@ -81,7 +81,7 @@ def test_emails_are_those_of_the_sql(spark, tmp_path):
 
     from maskwright.plans import catalogue as Q
 
-    for name, table, key, text in (("det_email_documents", "documents", "doc_id", "text"),):
+    for name, table, key, text in (("det_email_documents", "documents", "doc_id", "text"), ("det_email_pages", "pages", "page_id", "html")):
         df = spark.createDataFrame(list(enumerate(ODD_EMAILS)), f"{key} long, {text} string")
         df.write.parquet(f"{tmp_path}/{table}.parquet")
         duck = duckdb.connect()
