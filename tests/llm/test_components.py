@@ -30,6 +30,17 @@ def test_components(spark, monkeypatch, seed, n_links, chain, few):
     assert {r["node"]: r["root"] for r in found} == {x: root(x) for x in up} and len(found) == len(up)
 
 
+def test_few_links_take_few_jobs(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    found = components(links).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    spark.sparkContext.setJobGroup("others", "")
+    assert {(r["node"], r["root"]) for r in found} == {(i, 0) for i in range(201)} and len(found) == 201
+    # a turn is several jobs, and a chain takes turns by its length's logarithm
+    assert jobs <= 8, jobs
+
+
 def test_files_of_a_cut_stay_while_a_plan_reads_them(spark):
     first = cut(spark.range(10))
     path = first.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
